@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(load(spark, sf_dir, "code_chunks"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.leaks import leaked_items
+
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
