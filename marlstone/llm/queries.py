@@ -21,6 +21,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(load(spark, sf_dir, "code_chunks"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.packing import pack_documents
+
+    return pack_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_limits"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.leaks import leaked_items
 
