@@ -33,6 +33,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.sentences import sentences
+
+    return sentences(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
