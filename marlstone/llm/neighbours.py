@@ -201,23 +201,36 @@ def _candidates(probes: DataFrame, parts: list[tuple[int, int]], radius: int) ->
     return probes.mapInArrow(work, "a long, ca int, b long, cb int")
 
 
-def _scored(pairs: DataFrame, vecs: DataFrame, split: DataFrame) -> DataFrame:
-    """(a, b, cos) of (a, ca, b, cb). Work is grouped by a's cell and, in large cells, a share of its vectors."""
+def _best(key: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` rows of greatest cosine of each key."""
+    o = np.lexsort((other, -cos, key))
+    key, other, cos = key[o], other[o], cos[o]
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+    place = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    return key[place < k], other[place < k], cos[place < k]
+
+
+def _scored(pairs: DataFrame, vecs: DataFrame, split: DataFrame, k: int) -> DataFrame:
+    """(vid, other, cos) of (a, ca, b, cb), both ways. Work is grouped by a's cell and, in large cells, a share
+    of its vectors; a group gives on no more than the ``k`` best of each vector."""
     pairs = pairs.join(F.broadcast(split), pairs["ca"] == split["cell"]).withColumn("part", F.pmod(F.col("a"), F.col("parts"))).select("ca", "part", "a", "b")
     wants = pairs.select("ca", "part", F.explode(F.array("a", "b")).alias("vid")).distinct()
     sent = wants.join(vecs.select("vid", "vec"), "vid").select("ca", "part", "vid", "vec").toDF("to_cell", "to_part", "vid", "vec")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "cos": []}, dtype="float64").astype({"a": "int64", "b": "int64"})
+            return pd.DataFrame({"vid": [], "other": [], "cos": []}).astype({"vid": "int64", "other": "int64", "cos": "float64"})
         right = right.sort_values("vid")
         vids = right["vid"].to_numpy()
         m = np.frombuffer(b"".join(right["vec"]), dtype=np.float32).reshape(len(vids), -1)
-        ia, ib = np.searchsorted(vids, left["a"].to_numpy()), np.searchsorted(vids, left["b"].to_numpy())
+        a, b = left["a"].to_numpy(), left["b"].to_numpy()
+        ia, ib = np.searchsorted(vids, a), np.searchsorted(vids, b)
         cos = np.concatenate([np.einsum("ij,ij->i", m[ia[o:o + 20_000]].astype(np.float64), m[ib[o:o + 20_000]].astype(np.float64)) for o in range(0, len(ia), 20_000)])
-        return pd.DataFrame({"a": left["a"].to_numpy(), "b": left["b"].to_numpy(), "cos": cos})
+        x, y, c = (np.concatenate(z) for z in zip(_best(a, b, cos, k), _best(b, a, cos, k)))
+        x, y, c = _best(x, y, c, k)
+        return pd.DataFrame({"vid": x, "other": y, "cos": c})
 
-    return pairs.groupBy("ca", "part").cogroup(sent.groupBy("to_cell", "to_part")).applyInPandas(score, "a long, b long, cos double")
+    return pairs.groupBy("ca", "part").cogroup(sent.groupBy("to_cell", "to_part")).applyInPandas(score, "vid long, other long, cos double")
 
 
 def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embedding", k: int = 5, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -229,13 +242,12 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     code differs by more than ``radius`` bits, or that shares no key, is missed.
     """
     spark = rows.sparkSession
-    one = usable(rows, id_col, vec_col, width).groupBy("id").agg(F.min("vec").alias("vec"))
-    base = materialise(one, "vectors")
-    # vectors equal up to rounding are one; its number is that of its group in a written table
+    base = usable(rows, id_col, vec_col, width)
     total = base.count()
     if total == 0:
         return spark.createDataFrame([], "id string, other string, cos double, place int")
-    drawn = base.select("vec").sample(False, min(1.0, 1.2 * SAMPLE / total), 3).limit(SAMPLE).toPandas()["vec"] if total > SAMPLE else base.select("vec").toPandas()["vec"]
+    drawn = (base.select("vec").sample(False, min(1.0, 1.2 * SAMPLE / total), 3).limit(SAMPLE) if total > SAMPLE else base.select("vec")).toPandas()["vec"]
+    base = base.groupBy("id").agg(F.min("vec").alias("vec"))
     sample = np.frombuffer(b"".join(drawn), dtype=np.float32).reshape(-1, width).astype(np.float64)
     mean, rot = rotation(sample)
     cells = max(1, min(4_096, math.ceil(total / CELL)))
@@ -269,10 +281,9 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     pairs = materialise(_candidates(probes, parts, radius), "vector-pairs")
     load_ = pairs.groupBy(F.col("ca").alias("cell")).agg(F.count("*").alias("c"))
     split = load_.select("cell", F.ceil(F.col("c") / F.lit(60 * CELL)).cast("long").alias("parts"))
-    scored = _scored(pairs, single, split)
-    both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
-    best = both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("b").alias("vid")))), 1, 4 * k).alias("near"))
-    others = (best.select("a", F.explode("near").alias("n")).select("a", (-F.col("n.d")).alias("cos"), F.col("n.vid").alias("vid"))
+    scored = _scored(pairs, single, split, k)
+    best = scored.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("other").alias("vid")))), 1, k).alias("near"))
+    others = (best.select(F.col("vid").alias("a"), F.explode("near").alias("n")).select("a", (-F.col("n.d")).alias("cos"), F.col("n.vid").alias("vid"))
               .join(heads, "vid").select("a", "cos", F.explode("ids").alias("other")))
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "other")
     others = others.withColumn("p", F.row_number().over(w)).filter(F.col("p") <= k).select(F.col("a").alias("vid"), "cos", "other")
