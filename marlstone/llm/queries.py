@@ -21,6 +21,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(load(spark, sf_dir, "code_chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.parse_errors import parsed
+
+    return parsed(load(spark, sf_dir, "code_documents")).filter("not parses").select("id").distinct()
+
+
+def p6_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.parse_errors import parsed
+
+    bad = parsed(load(spark, sf_dir, "code_documents")).filter("not parses").dropDuplicates(["id"])
+    return bad.selectExpr("id", "language", "first_cause", "errors[0].line as first_line", "size(errors) as n_errors", "to_json(errors) as errors")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.parse_errors import error_rates, parsed
+
+    return error_rates(parsed(load(spark, sf_dir, "code_documents")))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.packing import pack_documents
 
