@@ -11,7 +11,7 @@ _OPS = r"<<=|>>=|\.\.\.|\.\.=|::|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|
 TOKEN = tokens(
     CONFLICT, r"//[^\n]*", r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*(?:\*/)?",
     r"(?:br|cr|r)\"[^\"]*\"?", r"(?:br|cr|r)#\"(?:[^\"]|\"(?!#))*(?:\"#)?", r"(?:br|cr|r)##\"(?:[^\"]|\"(?!##))*(?:\"##)?", r"(?:br|cr|r)###\"(?:[^\"]|\"(?!###))*(?:\"###)?",
-    r"[bc]?\"(?:[^\"\\]|\\[\s\S])*\"?", r"b?'(?:\\(?:u\{[^}]*\}|x[0-9a-fA-F]{2}|.)|[^'\\\n])'", r"'[^\W\d]\w*", r"r#\w+", NUMBER.replace(r"\.(?![.\w])", r"\.(?![.\w])"), NAME, _OPS)
+    r"[bc]?\"(?:[^\"\\]|\\[\s\S])*\"?", r"b?'(?:\\(?:u\{[^}]*\}|x[0-9a-fA-F]{2}|.)|[^'\\\n])'", r"'[^\W\d]\w*", r"r#\w+", NUMBER.rpartition(r"|\.\d")[0] + ")", NAME, _OPS)
 BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, ">": 3, "<=": 3, ">=": 3, "|": 4, "^": 5, "&": 6, "<<": 7, ">>": 7, "+": 8, "-": 8, "*": 9, "/": 9, "%": 9}
 ASSIGN = frozenset("= += -= *= /= %= ^= &= |= <<= >>=".split())
 BLOCKY = frozenset("if match while loop for unsafe { async const".split())
@@ -28,7 +28,7 @@ class RustCanon(Canon):
             return "E"
         if tok.startswith("r#") and len(tok) > 2 and tok[2] != '"' and tok[-1] != '"':
             return "a"
-        if '"' in tok[:6] and (ch in "brc\""):
+        if '"' in tok[:6] and ch in "brc\"" and tok[1:2] != "'":
             body = tok.rstrip("#")
             return "s" if len(body) > tok.index('"') + 1 and body.endswith('"') and (tok.count("#", 0, tok.index('"')) == len(tok) - len(body)) else "E"
         if ch == "b" and tok[1:2] == "'":
@@ -91,11 +91,13 @@ class RustParser(Parser):
         if t == ";":
             self.adv()
             return "closed"
+        inner = False
         while self.t == "#":
+            inner = self.peek() == "!"
             self.attribute()
         t = self.t
         if t == "" or t == "}":
-            if ctx == "block":
+            if inner or ctx == "block":
                 return "open"
             raise self.wrong("an item")
         if self.item(ctx, at, first):
@@ -133,7 +135,7 @@ class RustParser(Parser):
                 self.head(ctx, at, first, "block")
                 self.block()
             else:
-                self.primary(True)
+                self.primary(True, False)
             self.after_block()
             return "open"
         self.expr()
@@ -211,7 +213,7 @@ class RustParser(Parser):
             self.use_tree()
             self.need(";")
             return True
-        if t == "struct" or t == "a" and must and self.peek() == "a":
+        if t == "struct" or t == "a" and self.peek() == "a" and self.peek(2) in ("{", "<", "where"):
             self.adv()
             self.name()
             self.generics()
@@ -323,7 +325,7 @@ class RustParser(Parser):
         if must:
             raise self.wrong("an item")
         self.back(m)
-        if ctx != "block" and t in ("a", "crate", "self", "super", "::"):  # a macro call
+        if ctx != "block" and t in ("a", "crate", "self", "super", "::") or t == "a" and self.peek() == "!" and self.peek(2) == "a":  # a macro call
             self.path_plain()
             self.need("!")
             if self.t == "a":
@@ -456,7 +458,15 @@ class RustParser(Parser):
         else:
             raise self.wrong("'>'")
 
+    def open_angle(self) -> bool:
+        """Makes two brackets of "<<" where a type begins."""
+        if self.t == "<<":
+            self.toks = [*self.toks[:self.j], "<", "<", *self.toks[self.j + 1:]]
+            self.t = "<"
+        return self.t == "<"
+
     def angle_args(self) -> None:
+        self.open_angle()
         self.need("<")
         while self.t not in (">", ">>", ">=", ">>="):
             if self.t == "L":
@@ -495,9 +505,12 @@ class RustParser(Parser):
                 return
 
     def bounds(self) -> None:
-        while self.t in ("a", "L", "?", "(", "for", "::", "crate", "self", "super", "Self", "dyn", "~", "fn"):
+        while self.t in ("a", "L", "?", "(", "for", "::", "crate", "self", "super", "Self", "dyn", "~", "fn", "use", "<", "<<"):
             if self.t == "L":
                 self.adv()
+            elif self.t == "use":
+                self.adv()
+                self.angle_args()
             elif self.t == "(":
                 self.adv()
                 self.bounds()
@@ -511,7 +524,7 @@ class RustParser(Parser):
                 return
 
     def type_path(self) -> None:
-        if self.t == "<":
+        if self.open_angle():
             self.qualified()
         else:
             self.accept("::")
@@ -519,11 +532,11 @@ class RustParser(Parser):
                 raise self.wrong("a type")
             self.adv()
         while True:
-            if self.t == "<":
+            if self.t == "<" or self.t == "<<":
                 self.angle_args()
             elif self.t == "::":
                 self.adv()
-                if self.t == "<":
+                if self.open_angle():
                     self.angle_args()
                 elif self.t in ("a", "crate", "self", "super", "Self"):
                     self.adv()
@@ -551,7 +564,7 @@ class RustParser(Parser):
         if self.t != "::":
             raise self.wrong("'::'")
 
-    def type(self) -> None:
+    def type(self, sums: bool = True) -> None:
         self.depth += 1
         if self.depth > 150:
             raise Wrong("nesting too deep", "nesting")
@@ -612,7 +625,7 @@ class RustParser(Parser):
             if self.t == "!":
                 self.adv()
                 self.macro_body(False)
-        while self.t == "+" and self.peek() in ("a", "L", "?", "::", "for"):
+        while sums and self.t == "+" and self.peek() in ("a", "L", "?", "::", "for"):
             self.adv()
             self.bounds()
         self.depth -= 1
@@ -748,7 +761,7 @@ class RustParser(Parser):
             t = self.t
             if t == "as":
                 self.adv()
-                self.type()
+                self.type(False)
                 continue
             p = BINARY.get(t, 0)
             if p < least or not p:
@@ -803,7 +816,7 @@ class RustParser(Parser):
                 break
         self.need(close)
 
-    def primary(self, struct: bool) -> None:
+    def primary(self, struct: bool, post: bool = True) -> None:
         self.depth += 1
         if self.depth > 150:
             raise Wrong("nesting too deep", "nesting")
@@ -831,7 +844,7 @@ class RustParser(Parser):
         elif t == "{":
             self.block()
             braced = True
-        elif t in ("a", "self", "Self", "crate", "super", "::", "<"):
+        elif t in ("a", "self", "Self", "crate", "super", "::", "<", "<<"):
             self.path_expr(struct)
             braced = self.last_braced
         elif t == "if":
@@ -859,8 +872,15 @@ class RustParser(Parser):
                 if self.accept("if"):
                     self.expr()
                 self.need("=>")
-                block = self.t == "{"
-                self.expr()
+                block = self.t in ("{", "if", "match", "loop", "while", "for", "unsafe")
+                if block:
+                    self.primary(True, False)
+                    if self.t in (".", "?"):
+                        self.postfix(True)
+                        block = False
+                    self.rest(0, True) if self.t in ASSIGN or self.t in BINARY and self.t not in ("&", "&&", "*", "-", "|", "||", "<") or self.t in ("as", "..", "..=") else None
+                else:
+                    self.expr()
                 if not self.accept(",") and not (block or self.last_braced) and self.t != "}":
                     raise self.wrong("','")
             self.need("}")
@@ -917,7 +937,8 @@ class RustParser(Parser):
             raise self.wrong("a value")
         self.depth -= 1
         at = self.i, self.j
-        self.postfix(struct)
+        if post:
+            self.postfix(struct)
         self.last_braced = braced and at == (self.i, self.j)
 
     def closure(self, struct: bool) -> None:
@@ -940,7 +961,7 @@ class RustParser(Parser):
 
     def path_expr(self, struct: bool) -> None:
         self.last_braced = False
-        if self.t == "<":
+        if self.open_angle():
             self.qualified()
         else:
             self.accept("::")
@@ -949,7 +970,7 @@ class RustParser(Parser):
             self.adv()
         while self.t == "::":
             self.adv()
-            if self.t == "<":
+            if self.open_angle():
                 self.angle_args()
             elif self.t in ("a", "self", "Self", "crate", "super"):
                 self.adv()

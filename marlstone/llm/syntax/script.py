@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.llm.syntax.base import CONFLICT, NUMBER, Canon, Parser, Wrong, tokens
+import re
+
+from marlstone.llm.syntax.base import CONFLICT, NUMBER, Canon, Parser, Problem, Wrong, tokens
 
 # Reserved words.
 KEYWORDS = frozenset("""await break case catch class const continue debugger default delete do else enum export extends false finally for function
@@ -10,10 +12,10 @@ if import in instanceof new null return super switch this throw true try typeof
 #: Words that mean something only where they stand; elsewhere they are names.
 SOFT = frozenset("let async of get set static as from type interface namespace module declare abstract readonly keyof infer is asserts satisfies public private protected override unique global accessor out using".split())
 _REGEX = r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
-_BEFORE = "".join(f"(?<=[(,=:\\[!&|?{{}};+\\-*%<>~^\\n]{' ' * k})|" for k in range(0, 3)) + r"(?<=return )|(?<=typeof )|(?<=case )|(?<![^\n]\n)(?<=\n)"
+_BEFORE = "".join(f"(?<=[(,=:\\[!&|?{{}};+\\-*%<>~^\\n]{' ' * k})|" for k in range(0, 3)) + r"(?<=return )|(?<=return)|(?<=typeof )|(?<=case )|(?<![^\n]\n)(?<=\n)"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`)*\})*`?"
 _OPS = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
-TOKEN = tokens(CONFLICT, r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/)?", f"(?:{_BEFORE}){_REGEX}", _TEMPLATE, r"\"(?:[^\"\\\n]|\\\r?\n|\\[^\n])*\"?", r"'(?:[^'\\\n]|\\\r?\n|\\[^\n])*'?",
+TOKEN = tokens(CONFLICT, r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/)?", f"(?:{_BEFORE}){_REGEX}", rf"\n[ \t]*(?!/=){_REGEX}(?=[.,;)\s])", _TEMPLATE, r"\"(?:[^\"\\\n]|\\\r?\n|\\[^\n])*\"?", r"'(?:[^'\\\n]|\\\r?\n|\\[^\n])*'?",
                NUMBER, r"#?(?:[^\W\d]|\$|\\u\{?[0-9a-fA-F]+\}?)(?:[\w$]|\\u\{?[0-9a-fA-F]+\}?)*", _OPS, r"^#![^\n]*")
 BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8,
           "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 13}
@@ -27,7 +29,9 @@ MODIFIERS = frozenset("public private protected static readonly abstract overrid
 class ScriptCanon(Canon):
     def classify(self, tok: str) -> str:
         ch = tok[0]
-        if ch == "/" and len(tok) > 1 and tok[1] not in "/*=":
+        if ch == "\n" and len(tok) > 1:
+            return "\n s"
+        if ch == "/" and len(tok) > 1 and (tok[1] not in "/*=" or len(tok) > 2 and tok[1] == "="):
             return "s"
         if ch == "#" and tok[1:2] == "!":
             return ""
@@ -40,6 +44,44 @@ class ScriptCanon(Canon):
         return super().classify(tok)
 
 
+_BITS = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|[`{}]")
+
+
+def flat_templates(text: str) -> str:
+    """``text`` with templates of any nesting made plain; the line ends in them stay."""
+    out, at = [], 0
+    for m in _BITS.finditer(text):
+        if m[0] == "`" and m.start() >= at:
+            end = _template_end(text, m.start())
+            out += [text[at:m.start()], "`", "\n" * text.count("\n", m.start(), end), "`"]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def _template_end(text: str, start: int) -> int:
+    i, n = start + 1, len(text)
+    while i < n:
+        ch = text[i]
+        if ch == "\\":
+            i += 2
+        elif ch == "`":
+            return i + 1
+        elif text.startswith("${", i):
+            depth, i = 1, i + 2
+            while i < n and depth:
+                m = _BITS.search(text, i)
+                if not m:
+                    return n
+                i = m.end()
+                if m[0] == "`":
+                    i = _template_end(text, m.start())
+                elif m[0] in "{}":
+                    depth += 1 if m[0] == "{" else -1
+        else:
+            i += 1
+    return n
+
+
 class JavaScriptParser(Parser):
     token = TOKEN
     canon = ScriptCanon(KEYWORDS | SOFT, "\"'`", ("//", "/*"))
@@ -49,6 +91,12 @@ class JavaScriptParser(Parser):
     types = False
     no_in = False
 
+    def run(self) -> list[Problem]:
+        found = super().run()
+        if found and "${" in self.text and (flat := flat_templates(self.text)) != self.text:
+            return super(JavaScriptParser, type(self)(flat)).run()
+        return found
+
     def body(self, kind: str) -> None:
         self.statements("class" if kind == "class" else "block", "}")
         self.need("}")
@@ -122,6 +170,11 @@ class JavaScriptParser(Parser):
                     self.adv()
                     self.declarators(False)
                     return self.semicolon()
+        if t == "await" and self.peek() == "using" and self.peek(2) in NAMES:
+            self.adv()
+            self.adv()
+            self.declarators(False)
+            return self.semicolon()
         if t in ("a", "this", "super", "(", "s", "0"):
             if t == "a" and self.peek() == ":":
                 self.adv()
@@ -313,7 +366,7 @@ class JavaScriptParser(Parser):
         try:
             if self.t == ";":
                 pass
-            elif self.t in ("const", "let", "var") and (self.peek() in NAMES or self.peek() in ("[", "{")):
+            elif self.t in ("const", "let", "var", "using") and (self.peek() in NAMES and self.peek() != "of" or self.peek() in ("[", "{")):
                 self.adv()
                 self.declarators(True)
             else:
@@ -930,7 +983,7 @@ class TypeScriptParser(JavaScriptParser):
             if self.accept("is"):
                 self.type()
             return
-        if (self.t in NAMES or self.t == "this") and self.peek() == "is":
+        if (self.t in NAMES or self.t == "this") and self.peek() == "is" and self.j + 1 < len(self.toks):
             self.adv()
             self.adv()
         self.type()
@@ -999,6 +1052,10 @@ class TypeScriptParser(JavaScriptParser):
         self.depth -= 1
 
     def function_type(self) -> bool:
+        """Brackets that hold parameters and are followed by an arrow."""
+        p, q = self.peek(), self.peek(2)
+        if not (p in (")", "...") or (p in NAMES or p == "this") and q in (":", ",", "?", "=", ")") or p in ("{", "[")):
+            return False
         i, j, toks, nest = self.i, self.j, self.toks, 0
         while True:
             if j >= len(toks):
