@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(load(spark, sf_dir, "code_chunks"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.handwritten import not_handwritten
+
+    return not_handwritten(load(spark, sf_dir, "code_documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.neighbours import neighbour_pairs
 
