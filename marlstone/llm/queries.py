@@ -27,6 +27,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(load(spark, sf_dir, "code_chunks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.code_languages import labelled, languages, running_text, train
+
+    model = train(labelled(load(spark, sf_dir, "documents")))
+    return running_text(languages(load(spark, sf_dir, "code_documents"), model))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.code_languages import labelled, languages, train
+
+    model = train(labelled(load(spark, sf_dir, "documents")))
+    return languages(load(spark, sf_dir, "code_documents").dropDuplicates(["id"]), model)
+
+
+def p5_chunk_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.code_languages import labelled, languages, train
+
+    model = train(labelled(load(spark, sf_dir, "documents")))
+    return languages(load(spark, sf_dir, "code_chunks").dropDuplicates(["id"]), model)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.parse_errors import parsed
 
