@@ -200,3 +200,39 @@ def near_duplicate_pairs(records: DataFrame, id_col: str = "id", text_col: str =
     x, y = members.withColumnsRenamed({"id": "x", "fp": "a"}), members.withColumnsRenamed({"id": "y", "fp": "b"})
     pairs = alike.unionByName(same).join(x, "a").join(y, "b").filter("x != y").filter("a != b or x < y")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of an undirected graph (a, b): every node with the least node of its component.
+
+    Alternates large-star and small-star steps, each a shuffle by node with a minimum; every step's table is
+    written, so lineage stays short, and only a count of changes comes to the driver.
+    """
+    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(small_low, "a")
+        nxt = materialise(small.select("a", F.col("m").alias("b")).unionByName(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct(), "links")
+        if not nxt.join(e, ["a", "b"], "left_anti").head(1) and not e.join(nxt, ["a", "b"], "left_anti").head(1):
+            break
+        e = nxt
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def near_duplicate_classes(records: DataFrame, id_col: str = "id", text_col: str = "content", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(id, class_id, links): one row per record that takes part, with the least id of its class and the number of
+    records it is alike to. Records without a partner are a class of their own with no links."""
+    sets = materialise(token_runs(records, id_col, text_col, min_tokens), "near-runs")
+    members = sets.select("id", "fp").distinct()
+    alike = materialise(similar_sets(sets, threshold).select("a", "b"), "alike")
+    size = members.groupBy("fp").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size.select(F.col("fp").alias("b"), "size"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("size").alias("others"))
+    root = components(alike).withColumnsRenamed({"node": "fp"})
+    sets_ = size.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(near, "fp", "left")
+    least = sets_.groupBy("root").agg(F.min("least").alias("class_id"))
+    facts = sets_.join(least, "root").select("fp", "class_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"))
+    return members.join(facts, "fp").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))

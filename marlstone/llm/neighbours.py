@@ -239,7 +239,8 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     Null, zero, non-finite and otherwise wide vectors take no part, nor do null ids. Repeated
     rows of an id count once, the same vector under several ids is several neighbours. An empty
     table gives no rows; other columns are ignored. Searching is approximate: a neighbour whose
-    code differs by more than ``radius`` bits, or that shares no key, is missed.
+    code differs by more than ``radius`` bits, or that shares no key, is missed. A vector for which
+    probing finds fewer than ``k`` is compared with all instead, so each has its ``k`` if the table does.
     """
     spark = rows.sparkSession
     base = usable(rows, id_col, vec_col, width)
@@ -282,7 +283,11 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     load_ = pairs.groupBy(F.col("ca").alias("cell")).agg(F.count("*").alias("c"))
     split = load_.select("cell", F.ceil(F.col("c") / F.lit(60 * CELL)).cast("long").alias("parts"))
     scored = _scored(pairs, single, split, k)
-    best = scored.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("other").alias("vid")))), 1, k).alias("near"))
+    reached = materialise(scored, "vector-scores")
+    near_counts = reached.groupBy("vid").agg(F.countDistinct("other").alias("c")).filter(F.col("c") >= k).select("vid")
+    lonely = single.select("vid", "vec").join(near_counts, "vid", "left_anti")
+    scored = reached.unionByName(_by_scan(lonely, single, k))
+    best = scored.dropDuplicates(["vid", "other"]).groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("other").alias("vid")))), 1, k).alias("near"))
     others = (best.select(F.col("vid").alias("a"), F.explode("near").alias("n")).select("a", (-F.col("n.d")).alias("cos"), F.col("n.vid").alias("vid"))
               .join(heads, "vid").select("a", "cos", F.explode("ids").alias("other")))
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "other")
@@ -293,6 +298,46 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     return out.select("id", F.col("col.other").alias("other"), (-F.col("col.d")).alias("cos"), (F.col("pos") + 1).alias("place"))
 
 
+def _by_scan(queries: DataFrame, vecs: DataFrame, k: int, block: int = 8_192) -> DataFrame:
+    """(vid, other, cos): exact neighbours of the few vectors that probing left with fewer than ``k``.
+
+    Queries are taken in blocks of a fixed size; each block is compared with all vectors in one pass that
+    keeps ``k`` rows a query and batch of vectors.
+    """
+    spark = queries.sparkSession
+    lost = materialise(queries, "lonely-vectors")
+    total = lost.count()
+    out = spark.createDataFrame([], "vid long, other long, cos double")
+    for i in range(math.ceil(total / block)):
+        n = math.ceil(total / block)
+        part = lost.filter(F.pmod(F.xxhash64("vid"), F.lit(n)) == i).toPandas()
+        if part.empty:
+            continue
+        shared = spark.sparkContext.broadcast((part["vid"].to_numpy(np.int64), np.frombuffer(b"".join(part["vec"]), dtype=np.float32).reshape(len(part), -1)))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qid, q = shared.value
+            best: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                vid = batch.column(0).to_numpy(zero_copy_only=False)
+                m = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float32).reshape(len(vid), -1)
+                for o in range(0, len(qid), 512):
+                    cos = q[o:o + 512].astype(np.float64) @ m.astype(np.float64).T
+                    cos[qid[o:o + 512, None] == vid[None, :]] = -9
+                    c = min(k, len(vid))
+                    top = np.argpartition(-cos, c - 1, axis=1)[:, :c]
+                    val = np.take_along_axis(cos, top, axis=1)
+                    keep = val > -9
+                    x = np.repeat(qid[o:o + 512], c).reshape(-1, c)[keep]
+                    best = _best(*(np.concatenate(z) for z in zip(best, (x, vid[top][keep], val[keep]))), k)
+            yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2])], names=["vid", "other", "cos"])
+
+        out = out.unionByName(vecs.select("vid", "vec").mapInArrow(work, "vid long, other long, cos double"))
+    return out
+
+
 def _least_ids(members: DataFrame, k: int) -> DataFrame:
     """(vid, ids): the ``k`` least ids of each group, cut down in shares first so that no task holds a large group."""
     share = members.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(256)))

@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(load(spark, sf_dir, "code_chunks"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(load(spark, sf_dir, "code_chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.handwritten import not_handwritten
 
@@ -89,5 +95,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+P1_SQL = r"""
+WITH c AS (SELECT id, any_value(content) AS content FROM code_chunks GROUP BY id),
+  w AS (SELECT id, regexp_extract_all(content, '[\p{L}\p{N}_]+') AS w FROM c),
+  s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM w WHERE len(w) >= 20),
+  u AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+  p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.6
+"""
+
+P4_SQL = """
+WITH v AS (SELECT id, any_value(embedding::DOUBLE[]) AS e FROM code_chunks WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
+  n AS (SELECT a.id AS x, b.id AS y, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.id) AS r FROM v a JOIN v b ON a.id <> b.id QUALIFY r <= 5)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n
+"""
+
+P8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text <> ''),
+  i AS (SELECT item_id, regexp_matches(lower(lang), '^(zh|ja)') AS east, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
+  iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i WHERE NOT east AND len(w) >= 13),
+  dw AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d WHERE len(w) >= 13),
+  ic AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(s) - 28), lambda k: substr(s, k, 30))) AS g FROM (SELECT item_id, array_to_string(w, '') AS s FROM i WHERE east) WHERE length(s) >= 30),
+  dc AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(s) - 28), lambda k: substr(s, k, 30))) AS g FROM (SELECT doc_id, array_to_string(w, '') AS s FROM d) WHERE length(s) >= 30)
+SELECT DISTINCT doc_id, item_id FROM iw JOIN dw USING (g) UNION SELECT DISTINCT doc_id, item_id FROM ic JOIN dc USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
