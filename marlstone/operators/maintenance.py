@@ -46,20 +46,20 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def replace_files(old: DataFrame, new: DataFrame, touched: DataFrame, key: list[str] | None = None) -> DataFrame:
     """All rows of the touched files are replaced by those of ``new``; a touched file without new rows is emptied."""
     key = key or KEY
-    return old.join(touched.select(*key).distinct(), key, "left_anti").unionByName(new.select(*old.columns))
+    return old.join(touched.select(*key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def stale(old: DataFrame, new: DataFrame, key: list[str] | None = None, id_col: str = "id") -> DataFrame:
     """Rows of touched files whose id the new set lacks."""
     key = key or KEY
-    return old.join(new.select(*key).distinct(), key, "left_semi").join(new.select(id_col).distinct(), id_col, "left_anti")
+    return old.join(new.select(*key).distinct(), key, "left_semi").join(new.select(id_col).distinct(), id_col, "left_anti").select(*old.columns)
 
 
 def cascade_delete(deleted: DataFrame, *tables: DataFrame, key: list[str] | None = None) -> list[DataFrame]:
     """Each table without the rows of deleted files."""
     key = key or KEY
     d = deleted.select(*key).distinct()
-    return [t.join(d, key, "left_anti") for t in tables]
+    return [t.join(d, key, "left_anti").select(*t.columns) for t in tables]
 
 
 def set_where(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
