@@ -214,10 +214,12 @@ def texts_of(extension: str, text: str) -> Iterator[tuple[str, str]]:
             continue
         if m["c"] is not None:
             yield "comment", MARKS.sub(" ", s)
-        elif " " in s or EAST.search(s):
+        elif (" " in s or EAST.search(s)) and not STATEMENT.match(s.strip("\"'`")):
             yield "string", s.strip("\"'`").replace("\\n", "\n").replace("\\t", " ")
 
 
+STATEMENT = re.compile(r"\s*(?:SELECT\b.*\bFROM|INSERT\s+INTO|UPDATE\s+\S+\s+SET|DELETE\s+FROM|(?:CREATE|ALTER|DROP)\s+(?:TABLE|INDEX|VIEW)|WITH\s+\w+\s+AS\s*\()\b", re.S)
+
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("nat_lang", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("share", T.DoubleType()),
                        T.StructField("spans", T.IntegerType()), T.StructField("longest", T.IntegerType())])
 

@@ -14,8 +14,8 @@
    rather than once per pair. Large cells are split by the pair's first vector.
 
 Vectors that are equal after scaling are one vector in steps 2 to 4; they get each other as
-neighbours from their ids alone. The number of substrings follows the number of vectors, so
-that buckets stay small as the collection grows.
+neighbours from their ids alone. Small collections are cut into more substrings, which
+widens the radius; large ones keep ``TABLES``.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ BITS = 64
 SAMPLE = 20_000
 #: Pairs of codes farther apart than this aren't reranked.
 RADIUS = 17
+#: Substrings at least. With fewer, buckets are smaller but the radius that is found for certain shrinks: four of 16 bits
+#: find 11 of 64 bits at any size, and their larger buckets are compared by block, a few nanoseconds a pair.
+TABLES = 4
 #: Vectors a cell should hold; pairs of one cell are scored by one task.
 CELL = 4_000
 #: Rows of one block of a bucket.
@@ -253,7 +256,7 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     mean, rot = rotation(sample)
     cells = max(1, min(4_096, math.ceil(total / CELL)))
     mid = centres(sample, cells)
-    tables = max(2, min(8, round(BITS / math.log2(max(total, 16)))))
+    tables = max(TABLES, min(7, round(BITS / math.log2(max(total, 16)))))
     parts = substrings(BITS, tables)
     model = spark.sparkContext.broadcast((mean, rot, mid))
 

@@ -96,12 +96,12 @@ def packed(counts: DataFrame, limits: DataFrame, shares: int = SHARES) -> DataFr
     """(limit_id, doc_id, piece, first_token, tokens, container) of (doc_id, tokens).
 
     Every document is in one container of each capacity, whole unless it is longer: then it is
-    cut into full containers and a rest. Documents without tokens are spread over the
+    cut into full containers and a rest. Documents without tokens, or with null, are spread over the
     containers. Limits without a positive capacity and documents without an id take no part;
     repeated ids are cut to one row first; an empty table gives no rows.
     """
     spark = counts.sparkSession
-    counts = counts.filter("doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    counts = counts.filter("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.max("tokens"), F.lit(0)).alias("tokens"))
     caps = {r[0]: r[1] for r in limits.filter("limit_id is not null and capacity_tokens > 0").groupBy("limit_id").agg(F.max("capacity_tokens")).collect()}
     if not caps:
         return spark.createDataFrame([], "limit_id long, doc_id long, piece int, first_token long, tokens long, container long")

@@ -185,8 +185,11 @@ class JavaParser(Parser):
             self.need(";")
             return "closed"
         if t == "a" and self.peek() not in (".", "(", "[", "=", "::", "++", "--", "<") and self.peek() not in ASSIGN and self.peek() not in BINARY and self.peek() != ";":
-            # yield and the like: a word before a value
+            # yield: a word before a value
             self.adv()
+            self.expr()
+            self.need(";")
+            return "closed"
         self.kind = ""
         self.expr()
         if self.kind not in ("call", "assign", "step", "new"):

@@ -19,6 +19,51 @@ AUGMENTED = frozenset("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())
 ENDS = frozenset((")", "]", "}", ":", ",", "=", "", ";", "for", "async", "if", "else", "as", "from", "in", ":="))
 
 
+_PLAIN = re.compile(r"#[^\n]*|(?P<f>[rR]?[fFtT][rR]?)(?P<q>\"\"\"|'''|\"|')|[bBuUrR]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|\w+")
+
+
+def flat_fstrings(text: str) -> str:
+    """``text`` with f-strings, which may hold quotes of their own, made plain strings; line ends in them stay escaped."""
+    out, at = [], 0
+    while m := _PLAIN.search(text, at):
+        out.append(text[at:m.start()])
+        if m["f"] is None:
+            out.append(m[0])
+            at = m.end()
+            continue
+        at = _fstring_end(text, m.end(), m["q"])
+        out.append("''" + "\\\n" * text.count("\n", m.start(), at) + " ")
+    return "".join([*out, text[at:]])
+
+
+def _fstring_end(text: str, i: int, quote: str) -> int:
+    n = len(text)
+    while i < n:
+        if text.startswith(quote, i):
+            return i + len(quote)
+        ch = text[i]
+        if ch == "\\":
+            i += 2
+        elif text.startswith(("{{", "}}"), i):
+            i += 2
+        elif ch == "{":
+            depth, i = 1, i + 1
+            while i < n and depth:
+                m = _PLAIN.match(text, i)
+                if m and m["f"] is not None:
+                    i = _fstring_end(text, m.end(), m["q"])
+                elif m:
+                    i = m.end()
+                else:
+                    depth += (text[i] in "{[(") - (text[i] in "}])")
+                    i += 1
+        elif ch == "\n" and len(quote) == 1:
+            return i
+        else:
+            i += 1
+    return n
+
+
 class PyCanon(Canon):
     def classify(self, tok: str) -> str:
         ch = tok[0]
@@ -67,8 +112,14 @@ class PythonParser:
             return Wrong("string without end", "unterminated string")
         return Wrong(f"unexpected {t or 'end of line'!r}" + (f", expected {wanted}" if wanted else ""))
 
-    # logical lines
     def run(self) -> list[Problem]:
+        found = self.read()
+        if found and re.search(r"\b[rR]?[fFtT][rR]?[\"']", self.text) and (flat := flat_fstrings(self.text)) != self.text:
+            return type(self)(flat).read()
+        return found
+
+    # logical lines
+    def read(self) -> list[Problem]:
         lines, n, known = self.lines, len(self.lines), self.known
         indents, kinds, want = [0], [""], False
         last: dict[int, str] = {}
