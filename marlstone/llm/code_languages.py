@@ -56,7 +56,7 @@ SCANNERS = {
     "plain": re.compile(r"(?P<c>//[^\n]*(?:\n[ \t]*//[^\n]*)*|/\*.*?(?:\*/|\Z))|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|" + _C_STRING + r"|`[^`]*`)|'(?:\\[^\n]|[^'\\\n])'", re.S),
 }
 PYTHONIC = re.compile(r"^(?:from [\w.]+ import |import \w[\w.]*(?:$|\r| as |,)|(?:class|def) \w.*:\s*$|\s+(?:def \w.*:|elif .*:|pass)\s*$)", re.M)
-BRACED = re.compile(r"^(?:use [\w:{}, ]+;|package [\w.]+;?\s*$|import .* from |import [\w.]+;|(?:pub(?:\(\w+\))? |export |async |const |let |var |func |fn |impl |function |public |final |static |class \w+ ?(?:extends .*)?\{))", re.M)
+BRACED = re.compile(r"^(?:use [\w:{}, ]+;|package [\w.]+;?\s*$|import .* from |import [\w.]+;|(?:pub(?:\(\w+\))? |export |async function |const |let |var |func |fn |impl |function |public |final |static |class \w+ ?(?:extends .*)?\{))", re.M)
 RUSTIC = re.compile(r"^(?:use (?:crate|std|super)::|(?:pub(?:\(\w+\))? )?(?:fn|impl|mod) )|^package \w+\s*$|^func ", re.M)
 FAMILY = {"py": "python", "js": "script", "ts": "script", "rs": "plain", "go": "plain", "java": "plain"}
 
