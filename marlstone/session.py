@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, list[str]] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(app: str = "marlstone", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,7 +29,30 @@ def get_spark(app: str = "marlstone", master: str | None = None, **conf: str) ->
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make sure that Python workers can import this package: once a session it is sent to them as an archive.
+
+    It isn't where workers on this machine find it by themselves, through PYTHONPATH or the working folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    root = package.parent
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.master.startswith("local") and any(p and root == Path(p).resolve() for p in found):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="marlstone-"), "marlstone.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(root)))
+    sc.addPyFile(path)
 
 
 def scratch_root(spark: SparkSession) -> str:

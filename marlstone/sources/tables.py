@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.session import ship
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table as a DataFrame; filters and column lists reach the parquet scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
