@@ -40,16 +40,19 @@ RADIUS = 17
 #: Substrings at least. With fewer, buckets are smaller but the radius that is found for certain shrinks: four of 16 bits
 #: find 11 of 64 bits at any size, and their larger buckets are compared by block, a few nanoseconds a pair.
 TABLES = 4
-#: Vectors a cell should hold; pairs of one cell are scored by one task.
-CELL = 4_000
+#: Vectors a cell should hold; pairs of one cell are scored by one task. Large cells split few neighbourhoods.
+CELL = 16_000
+CELLS = 8
+#: Pairs that one task scores; cells with more are split by the pair's first vector.
+PAIRS = 500_000
 #: Rows of one block of a bucket.
 BLOCK = 2_048
 ROUNDS = 30
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, width: int = WIDTH) -> DataFrame:
-    """(id, vec): one row per id with a vector of ``width`` finite floats, not all zero, scaled to
-    length 1. Of several usable rows of an id the one with the least vector counts. Bytes are float32."""
+    """(id, vec): the rows with an id and a vector of ``width`` finite floats, not all zero, scaled to
+    length 1. Bytes are float32."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +149,7 @@ def _met(key: int, x: np.ndarray, y: np.ndarray, parts: list[tuple[int, int]]) -
 
 
 def _candidates(probes: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(a, ca, b, cb), a < b: pairs within ``radius`` bits that share a key; rows come sorted by key."""
+    """(a, ca, b), a < b: pairs within ``radius`` bits that share a key; rows come sorted by key."""
 
     def block(key: int, rows: tuple[np.ndarray, ...], lo: int, hi: int, others: np.ndarray, out: list) -> None:
         code, vid, cell = rows
@@ -159,7 +162,7 @@ def _candidates(probes: DataFrame, parts: list[tuple[int, int]], radius: int) ->
         i, j = i[keep], j[keep]
         swap = vid[i] > vid[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
-        out.append((vid[a], cell[a], vid[b], cell[b]))
+        out.append((vid[a], cell[a], vid[b]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -186,7 +189,7 @@ def _candidates(probes: DataFrame, parts: list[tuple[int, int]], radius: int) ->
                 yield pack(out)
 
         def pack(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "ca", "b", "cb"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "ca", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -201,7 +204,7 @@ def _candidates(probes: DataFrame, parts: list[tuple[int, int]], radius: int) ->
         if rest is not None:
             yield from done(rest)
 
-    return probes.mapInArrow(work, "a long, ca int, b long, cb int")
+    return probes.mapInArrow(work, "a long, ca int, b long")
 
 
 def _best(key: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +217,7 @@ def _best(key: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> tuple[
 
 
 def _scored(pairs: DataFrame, vecs: DataFrame, split: DataFrame, k: int) -> DataFrame:
-    """(vid, other, cos) of (a, ca, b, cb), both ways. Work is grouped by a's cell and, in large cells, a share
+    """(vid, other, cos) of (a, ca, b), both ways. Work is grouped by a's cell and, in large cells, a share
     of its vectors; a group gives on no more than the ``k`` best of each vector."""
     pairs = pairs.join(F.broadcast(split), pairs["ca"] == split["cell"]).withColumn("part", F.pmod(F.col("a"), F.col("parts"))).select("ca", "part", "a", "b")
     wants = pairs.select("ca", "part", F.explode(F.array("a", "b")).alias("vid")).distinct()
@@ -240,7 +243,7 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     """(id, other, cos, place): the ``k`` vectors most alike to every usable vector, ties by smaller id.
 
     Null, zero, non-finite and otherwise wide vectors take no part, nor do null ids. Repeated
-    rows of an id count once, the same vector under several ids is several neighbours. An empty
+    rows of an id count once (of different vectors, the one of least hash), the same vector under several ids is several neighbours. An empty
     table gives no rows; other columns are ignored. Searching is approximate: a neighbour whose
     code differs by more than ``radius`` bits, or that shares no key, is missed. A vector for which
     probing finds fewer than ``k`` is compared with all instead, so each has its ``k`` if the table does.
@@ -251,10 +254,9 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     if total == 0:
         return spark.createDataFrame([], "id string, other string, cos double, place int")
     drawn = (base.select("vec").sample(False, min(1.0, 1.2 * SAMPLE / total), 3).limit(SAMPLE) if total > SAMPLE else base.select("vec")).toPandas()["vec"]
-    base = base.groupBy("id").agg(F.min("vec").alias("vec"))
     sample = np.frombuffer(b"".join(drawn), dtype=np.float32).reshape(-1, width).astype(np.float64)
     mean, rot = rotation(sample)
-    cells = max(1, min(4_096, math.ceil(total / CELL)))
+    cells = max(CELLS, min(4_096, math.ceil(total / CELL)))
     mid = centres(sample, cells)
     tables = max(TABLES, min(7, round(BITS / math.log2(max(total, 16)))))
     parts = substrings(BITS, tables)
@@ -274,23 +276,24 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
             group = [xxh3_64_intdigest(r) - (1 << 63) for r in np.round(x * 1e5).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code), pa.array(cell), pa.array(group, pa.int64())], names=["id", "vec", "code", "cell", "vid"])
 
-    coded = base.mapInArrow(encode, "id string, vec binary, code long, cell int, vid long")
-    members = materialise(coded, "vector-codes")
+    coded = materialise(base.mapInArrow(encode, "id string, vec binary, code long, cell int, vid long"), "vector-codes")
+    members = coded.groupBy("id").agg(F.min("vid").alias("vid"))
     # copies: the k+1 least ids of a group serve all its members and all its neighbours
-    heads = _least_ids(members.select("vid", "id"), k + 1)
-    single = members.join(heads.select("vid", F.element_at("ids", 1).alias("id")), ["vid", "id"], "left_semi")
-    codes = single.select("vid", "code", "cell")
+    heads = _least_ids(members, k + 1)
+    # one row a group; codes and vectors apart, so that vectors are shuffled once
+    codes = coded.select("vid", "code", "cell").dropDuplicates(["vid"]).join(members.select("vid").distinct(), "vid", "left_semi")
+    single = coded.select("vid", "vec").dropDuplicates(["vid"])
     probes = _probes(codes, parts)
     probes = probes.repartition("key").sortWithinPartitions("key")
     pairs = materialise(_candidates(probes, parts, radius), "vector-pairs")
     load_ = pairs.groupBy(F.col("ca").alias("cell")).agg(F.count("*").alias("c"))
-    split = load_.select("cell", F.ceil(F.col("c") / F.lit(60 * CELL)).cast("long").alias("parts"))
+    split = load_.select("cell", F.ceil(F.col("c") / F.lit(PAIRS)).cast("long").alias("parts"))
     scored = _scored(pairs, single, split, k)
-    reached = materialise(scored, "vector-scores")
-    near_counts = reached.groupBy("vid").agg(F.countDistinct("other").alias("c")).filter(F.col("c") >= k).select("vid")
-    lonely = single.select("vid", "vec").join(near_counts, "vid", "left_anti")
-    scored = reached.unionByName(_by_scan(lonely, single, k))
-    best = scored.dropDuplicates(["vid", "other"]).groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("other").alias("vid")))), 1, k).alias("near"))
+    best = materialise(_nearest(scored, k), "vector-best")
+    lost = materialise(codes.select("vid").join(best.filter(F.size("near") >= min(k, total - 1)).select("vid"), "vid", "left_anti"), "lonely-vectors")
+    if missing := lost.count():
+        found = _nearest(_by_scan(single.join(lost, "vid", "left_semi"), missing, single.join(codes.select("vid"), "vid", "left_semi"), k), k)
+        best = best.join(lost, "vid", "left_anti").unionByName(found)
     others = (best.select(F.col("vid").alias("a"), F.explode("near").alias("n")).select("a", (-F.col("n.d")).alias("cos"), F.col("n.vid").alias("vid"))
               .join(heads, "vid").select("a", "cos", F.explode("ids").alias("other")))
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "other")
@@ -301,7 +304,12 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     return out.select("id", F.col("col.other").alias("other"), (-F.col("col.d")).alias("cos"), (F.col("pos") + 1).alias("place"))
 
 
-def _by_scan(queries: DataFrame, vecs: DataFrame, k: int, block: int = 8_192) -> DataFrame:
+def _nearest(scored: DataFrame, k: int) -> DataFrame:
+    """(vid, near): the ``k`` best of each vector, as structs of negative cosine and vid."""
+    return scored.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("d"), F.col("other").alias("vid")))), 1, k).alias("near"))
+
+
+def _by_scan(queries: DataFrame, total: int, vecs: DataFrame, k: int, block: int = 8_192) -> DataFrame:
     """(vid, other, cos): exact neighbours of the few vectors that probing left with fewer than ``k``.
 
     Queries are taken in blocks of a fixed size; each block is compared with all vectors in one pass that
@@ -309,7 +317,6 @@ def _by_scan(queries: DataFrame, vecs: DataFrame, k: int, block: int = 8_192) ->
     """
     spark = queries.sparkSession
     lost = materialise(queries, "lonely-vectors")
-    total = lost.count()
     out = spark.createDataFrame([], "vid long, other long, cos double")
     for i in range(math.ceil(total / block)):
         n = math.ceil(total / block)
