@@ -28,6 +28,8 @@ LATIN = ("en", "de", "fr", "es")
 LANGUAGES = (*LATIN, "ru", "zh", "ja")
 #: Labelled texts the scores are trained on, at most.
 SAMPLE = 3_000
+#: Words of that sample that reach the model, at most.
+WORDS = 200_000
 #: Price of a change of language between two words, in nats.
 SWITCH = 9.0
 #: Nats a letter of a word costs in no language at all.
@@ -105,12 +107,20 @@ class Scores(dict):
         return v
 
 
-def train(rows: list[tuple[str, str]]) -> dict:
-    """The model of (language, text) pairs."""
-    words: dict[str, Counter] = {k: Counter() for k in LATIN}
+def counted(rows: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    """(language, word, count) of (language, text) pairs."""
+    c: Counter = Counter()
     for lang, text in rows:
-        if lang in words:
-            words[lang].update(w for w in WORD.findall(text.lower()) if not CYRILLIC.search(w) and not EAST.search(w))
+        c.update((lang, w) for w in WORD.findall(text.lower()))
+    return [(lang, w, n) for (lang, w), n in c.items()]
+
+
+def train(counts: list[tuple[str, str, int]]) -> dict:
+    """The model of (language, word, count) rows."""
+    words: dict[str, Counter] = {k: Counter() for k in LATIN}
+    for lang, w, n in counts:
+        if lang in words and not CYRILLIC.search(w) and not EAST.search(w):
+            words[lang][w] += n
     for lang in LATIN:
         # a word mostly met under another label is noise of the labels
         words[lang] = Counter({w: c for w, c in words[lang].items() if c >= 2 and c * 4 >= max(words[k].get(w, 0) for k in LATIN)})
@@ -224,13 +234,16 @@ SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("nat_l
                        T.StructField("spans", T.IntegerType()), T.StructField("longest", T.IntegerType())])
 
 
-def labelled(documents: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """A bounded sample, drawn by a hash of the id, of texts with a usable label."""
+def word_counts(documents: DataFrame, sample: int = SAMPLE, most: int = WORDS) -> list[tuple[str, str, int]]:
+    """(language, word, count) of the ``most`` commonest words in a bounded sample, drawn by a hash of the id, of texts
+    with a usable label. Counting is done by the executors; null labels, texts and ids take no part."""
     lang = F.substring(F.lower("lang"), 1, 2)
     fit = documents.filter(lang.isin(*LATIN)).select("doc_id", lang.alias("lang"), "text").filter("length(text) > 0")
     total = fit.count()
-    share = int(1_000_000 * min(1.0, sample / max(total, 1)))
-    return [(r[0], r[1]) for r in fit.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text").limit(2 * sample).toLocalIterator()]
+    part = fit.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(total, 1))))
+    words = part.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), F.lit(0))).alias("w"))
+    rows = words.groupBy("lang", "w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "lang", "w").limit(most).collect()
+    return [(r[0], r[1], r[2]) for r in rows]
 
 
 def languages(files: DataFrame, model: dict, id_col: str = "id", path_col: str = "file_path", text_col: str = "content") -> DataFrame:

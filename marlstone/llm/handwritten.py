@@ -152,7 +152,7 @@ def votes(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     table = materialise(measured(files), "file-shapes")
     total = table.count()
     # the sample is drawn by a hash of the id, so it is the same on every run; a copy says nothing of how code looks
-    part = table.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(total, 1)))).filter("not copied").limit(2 * sample).coalesce(4)
+    part = table.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(total, 1)))).filter("not copied").limit(2 * sample)
     kinds = {r[0]: r[1] for r in part.groupBy("made").count().collect()}
     if len(kinds) < 2 or min(kinds.values()) < 5:
         return table.select("id", "made", "copied", F.col("made").alias("vote"))

@@ -34,23 +34,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marlstone.llm.code_languages import labelled, languages, running_text, train
+    from marlstone.llm.code_languages import languages, running_text, train, word_counts
 
-    model = train(labelled(load(spark, sf_dir, "documents")))
+    model = train(word_counts(load(spark, sf_dir, "documents")))
     return running_text(languages(load(spark, sf_dir, "code_documents"), model))
 
 
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marlstone.llm.code_languages import labelled, languages, train
+    from marlstone.llm.code_languages import languages, train, word_counts
 
-    model = train(labelled(load(spark, sf_dir, "documents")))
+    model = train(word_counts(load(spark, sf_dir, "documents")))
     return languages(load(spark, sf_dir, "code_documents").dropDuplicates(["id"]), model)
 
 
 def p5_chunk_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marlstone.llm.code_languages import labelled, languages, train
+    from marlstone.llm.code_languages import languages, train, word_counts
 
-    model = train(labelled(load(spark, sf_dir, "documents")))
+    model = train(word_counts(load(spark, sf_dir, "documents")))
     return languages(load(spark, sf_dir, "code_chunks").dropDuplicates(["id"]), model)
 
 

@@ -113,7 +113,7 @@ TEXTS = {"en": "This filter keeps the rows of a table before the index reads the
 
 @pytest.fixture(scope="module")
 def model():
-    return L.train([(k, v) for k, v in TEXTS.items() for _ in range(3)])
+    return L.train(L.counted([(k, v) for k, v in TEXTS.items() for _ in range(3)]))
 
 
 @pytest.mark.parametrize("lang", sorted(TEXTS))
@@ -138,5 +138,6 @@ def test_language_table(spark, model):
     got = {tuple(r) for r in L.running_text(L.languages(f, model)).collect()}
     assert got == {("a", "en"), ("a", "ru"), ("b", "de"), ("c", "fr"), ("d", "es"), ("d", "ja"), ("l", "en")}
     assert all(0 < r["share"] <= 1 for r in L.languages(f, model).collect()) and L.languages(f.limit(0), model).collect() == []
-    docs = spark.createDataFrame([(1, "EN", TEXTS["en"]), (2, "de-DE", TEXTS["de"]), (3, None, "x"), (4, "en", ""), (5, "th", "x")], "doc_id long, lang string, text string")
-    assert sorted(k for k, _ in L.labelled(docs)) == ["de", "en"]
+    docs = spark.createDataFrame([(1, "EN", (TEXTS["en"] + " ") * 2), (2, "de-DE", (TEXTS["de"] + " ") * 2), (3, None, "x x"), (4, "en", ""), (5, "th", "x x"), (6, "en", None)], "doc_id long, lang string, text string")
+    words = L.word_counts(docs)
+    assert {k for k, _, _ in words} == {"de", "en"} and ("de", "die", 2) in words and ("de", "tabelle", 2) in words and L.word_counts(docs.limit(0)) == []
