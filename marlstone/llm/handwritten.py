@@ -53,7 +53,7 @@ STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 NUMBER = re.compile(r"\b0x[0-9a-fA-F]+\b|\b\d[\d._]*(?:[eE][-+]?\d+)?\b")
 VALUE = re.compile(NUMBER.pattern + r"|[\s,\[\]{}():;+\-.]")
-SIGNS = re.compile(r"\d")
+NAME = re.compile(r"\w+")
 FEATURES = ("log_size", "log_lines", "mean_line", "log_longest", "compression", "entropy", "distinct", "name_length", "short_names", "name_spread", "comments", "strings", "digits",
             "signs", "blanks", "shapes", "words_in_strings", "declared_size")
 
@@ -71,6 +71,9 @@ def is_page(text: str) -> bool:
     return len(LISTED.findall(text)) >= 3 and len(MARKED.findall(text)) > 0.6 * lines
 
 
+STRINGS, DIGITS = FEATURES.index("strings"), FEATURES.index("digits")
+
+
 def features(text: str, size: int | None) -> list[float]:
     """What the forest sees of a text whose header comments are off."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -82,28 +85,38 @@ def features(text: str, size: int | None) -> list[float]:
     tokens = TOKEN.findall(bare)
     counts = Counter(tokens)
     m = max(1, len(tokens))
-    names = [t for t in tokens if t[0].isalpha() or t[0] == "_"]
-    lengths = list(map(len, names))
-    k = max(1, len(names))
-    mean = sum(lengths) / k
-    digits = len(SIGNS.findall(text))
-    shapes = {re.sub(r"\w+", "w", x) for x in lines if x.strip()}
+    k = total = squares = short = signs = 0
+    for t, c in counts.items():
+        if t[0].isalpha() or t[0] == "_":
+            x = len(t)
+            k += c
+            total += c * x
+            squares += c * x * x
+            short += c * (x <= 2)
+        elif not t[0].isdigit():
+            signs += c
+    k = max(1, k)
+    mean = total / k
+    digits = sum(map(text.count, "0123456789"))
+    shapes = set(NAME.sub("w", text).split("\n"))
+    shapes.discard("")
     return [
         math.log1p(n), math.log1p(len(lines)), n / len(lines), math.log1p(max(map(len, lines))), len(zlib.compress(raw, 1)) / max(1, len(raw)),
-        -sum(c / m * math.log2(c / m) for c in counts.values()), len(counts) / m, mean, sum(x <= 2 for x in lengths) / k,
-        math.sqrt(sum((x - mean) ** 2 for x in lengths) / k), (len(text) - len(bare)) / n, held / n, digits / n, sum(not t[0].isalnum() for t in tokens) / m,
+        -sum(c / m * math.log2(c / m) for c in counts.values()), len(counts) / m, mean, short / k,
+        math.sqrt(max(0.0, squares / k - mean * mean)), (len(text) - len(bare)) / n, held / n, digits / n, signs / m,
         sum(map(text.count, " \t\r\n")) / n, len(shapes) / max(1, len(lines)), sum(s.count(" ") for s in strings) / max(1, held), math.log1p(abs((size if size is not None else len(raw)) - len(raw)))]
 
 
-def declared(path: str, text: str) -> tuple[bool, bool]:
-    """(made by a tool, copied from elsewhere), as far as the file itself says so."""
+def declared(path: str, text: str, values: float = 1.0) -> tuple[bool, bool]:
+    """(made by a tool, copied from elsewhere), as far as the file itself says so. ``values`` is the share of strings
+    and digits where it is known; a text with few can't be a table."""
     copied = bool(path and VENDORED.search(path))
     made = bool(path and TOOL_NAME.search(path))
     head = HEADER.match(text)[0]
     for line in head.split("\n") if head else ():
         made = made or bool(NOTICE.search(line))
         copied = copied or bool(COPIED.search(line))
-    if not made:
+    if not made and values > 0.25:
         body = text[len(head):].strip()
         made = len(body) > 400 and is_literal(body)
     return made, copied
@@ -128,10 +141,11 @@ def measured(files: DataFrame) -> DataFrame:
                 if i is None or not text or is_page(text):
                     continue
                 ids.append(i)
-                m, c = declared(path or "", text)
+                row = features(text[HEADER.match(text).end():] or text, size)
+                m, c = declared(path or "", text, row[STRINGS] + row[DIGITS])
                 made.append(float(m))
                 copied.append(c)
-                rows.append(features(text[HEADER.match(text).end():] or text, size))
+                rows.append(row)
             cols = list(zip(*rows)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(made, pa.float64()), pa.array(copied, pa.bool_()), *(pa.array(c, pa.float64()) for c in cols)], names=schema.names)
 
