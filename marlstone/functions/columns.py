@@ -44,9 +44,9 @@ def byte_prefix(c: str, offset: str | Column) -> Column:
 
 
 def _newlines(data: Column) -> Column:
-    h = F.hex(data)
-    # two hex digits a byte: pairs are kept apart by a blank so that "0A" is a byte and not two halves
-    return F.size(F.split(F.regexp_replace(h, "(..)", "$1 "), "0A ", -1)) - 1
+    # one letter a byte: a newline's byte is part of no other letter of UTF-8, and a cut letter can't fail to decode
+    s = F.decode(data, "ISO-8859-1")
+    return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
 
 def line_true(c: str, offset: str) -> Column:
