@@ -35,7 +35,7 @@ SWITCH = 9.0
 #: Nats a letter of a word costs in no language at all.
 GIBBERISH = 3.3
 MIN_WORDS, MIN_CHARS = 6, 12
-REMEMBER = 300_000
+REMEMBER = 100_000
 
 # Frequent small words, for languages that the sample lacks.
 SMALL = {

@@ -32,7 +32,7 @@ EAST_ASIAN = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 WORDS, CHARS = (8, 6), (20, 11)
 #: Bits of the bitmap that thins the corpus side (16 MB at most).
 BITS = 27
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 SEP = "\x1f"
 
 

@@ -38,7 +38,7 @@ THRESHOLD = 0.6
 #: Standard errors that an estimate may lie below the threshold before its pair goes.
 SLACK = 5.0
 #: Distinct tokens and fingerprints remembered by one task; beyond it the memory starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 
 
 class _TokenHashes(dict):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts whose verdict a task remembers, so that stored versions without a change cost nothing.
-REMEMBER = 100_000
+REMEMBER = 50_000
 ERROR = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("cause", T.StringType()), T.StructField("message", T.StringType())]))
 SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("project_id", T.StringType()), T.StructField("language", T.StringType()), T.StructField("parses", T.BooleanType()),

@@ -6,7 +6,7 @@ import re
 from typing import NamedTuple
 
 #: Line shapes and tokens remembered per language in one process; beyond it the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 100_000
 #: Nesting beyond which a text counts as not parsable rather than ending the process.
 DEPTH = 150
 
