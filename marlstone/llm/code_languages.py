@@ -31,9 +31,9 @@ SAMPLE = 3_000
 #: Words of that sample that reach the model, at most.
 WORDS = 200_000
 #: Price of a change of language between two words, in nats.
-SWITCH = 9.0
+SWITCH = 16.0
 #: Nats a letter of a word costs in no language at all.
-GIBBERISH = 3.3
+GIBBERISH = 5.0
 MIN_WORDS, MIN_CHARS = 6, 12
 REMEMBER = 100_000
 
@@ -50,7 +50,7 @@ EAST = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ]")
 KANA = re.compile("[぀-ヿｦ-ﾝ]")
 CLAUSE = re.compile("[^。！？!?\n]+[。！？!?\n]*")
 CYRILLIC = re.compile("[Ѐ-ӿ]")
-CODE = re.compile(r"[_\\=<>{}@$%^&~|]|::|->|\w[./:]\w|/\w|\w\(|\w\[|[a-zà-ÿ][A-Z]|\d|^[A-Z]+-[A-Z]+-|-License-")
+CODE = re.compile(r"[_\\=<>{}@$%^&~|]|::|->|\w[./:]\w|/\w|\w\(|\w\[|[a-zà-ÿ][A-Z]|\d|^[A-Z]{2,}-[A-Z]{2,}(?:-\w+)*:?$")
 _C_STRING = r"\"(?:[^\"\\\n]|\\.)*\""
 SCANNERS = {
     "python": re.compile(r"(?P<c>#[^\n]*(?:\n[ \t]*#[^\n]*)*)|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|" + _C_STRING + r"|'(?:[^'\\\n]|\\.)*')", re.S),
@@ -210,6 +210,7 @@ def spans(text: str, scores: Scores) -> list[tuple[str, int, int]]:
     return out
 
 
+TAG = re.compile(r"[^\n]*\bSPDX-[\w-]+:[^\n]*")
 MARKS = re.compile(r"^[ \t]*(?:#+!?|//[/!]*|/\*+!?|\*+/?|\*)[ \t]?", re.M)
 
 
@@ -223,7 +224,7 @@ def texts_of(extension: str, text: str) -> Iterator[tuple[str, str]]:
         if s is None or len(s) < 14:
             continue
         if m["c"] is not None:
-            yield "comment", MARKS.sub(" ", s)
+            yield "comment", MARKS.sub(" ", TAG.sub("", s) if "SPDX-" in s else s)
         elif (" " in s or EAST.search(s)) and not STATEMENT.match(s.strip("\"'`")):
             yield "string", s.strip("\"'`").replace("\\n", "\n").replace("\\t", " ")
 
