@@ -74,8 +74,9 @@ def is_page(text: str) -> bool:
 STRINGS, DIGITS = FEATURES.index("strings"), FEATURES.index("digits")
 
 
-def features(text: str, size: int | None) -> list[float]:
-    """What the forest sees of a text whose header comments are off."""
+def features(text: str, gap: int) -> list[float]:
+    """What the forest sees of a text whose header comments are off. ``gap`` is how far the stated size of the file is from
+    that of the whole text: taken of the rest it would tell how long the header was, and so whether there is a notice."""
     raw = text.encode("utf-8", "surrogatepass")
     n = max(1, len(text))
     lines = text.split("\n")
@@ -104,7 +105,7 @@ def features(text: str, size: int | None) -> list[float]:
         math.log1p(n), math.log1p(len(lines)), n / len(lines), math.log1p(max(map(len, lines))), len(zlib.compress(raw, 1)) / max(1, len(raw)),
         -sum(c / m * math.log2(c / m) for c in counts.values()), len(counts) / m, mean, short / k,
         math.sqrt(max(0.0, squares / k - mean * mean)), (len(text) - len(bare)) / n, held / n, digits / n, signs / m,
-        sum(map(text.count, " \t\r\n")) / n, len(shapes) / max(1, len(lines)), sum(s.count(" ") for s in strings) / max(1, held), math.log1p(abs((size if size is not None else len(raw)) - len(raw)))]
+        sum(map(text.count, " \t\r\n")) / n, len(shapes) / max(1, len(lines)), sum(s.count(" ") for s in strings) / max(1, held), math.log1p(gap)]
 
 
 def declared(path: str, text: str, values: float = 1.0) -> tuple[bool, bool]:
@@ -141,7 +142,8 @@ def measured(files: DataFrame) -> DataFrame:
                 if i is None or not text or is_page(text):
                     continue
                 ids.append(i)
-                row = features(text[HEADER.match(text).end():] or text, size)
+                gap = abs(size - len(text.encode("utf-8", "surrogatepass"))) if size is not None else 0
+                row = features(text[HEADER.match(text).end():].strip() or text, gap)
                 m, c = declared(path or "", text, row[STRINGS] + row[DIGITS])
                 made.append(float(m))
                 copied.append(c)
