@@ -55,7 +55,7 @@ NUMBER = re.compile(r"\b0x[0-9a-fA-F]+\b|\b\d[\d._]*(?:[eE][-+]?\d+)?\b")
 VALUE = re.compile(NUMBER.pattern + r"|[\s,\[\]{}():;+\-.]")
 NAME = re.compile(r"\w+")
 FEATURES = ("log_size", "log_lines", "mean_line", "log_longest", "compression", "entropy", "distinct", "name_length", "short_names", "name_spread", "comments", "strings", "digits",
-            "signs", "blanks", "shapes", "words_in_strings", "declared_size")
+            "signs", "blanks", "shapes", "words_in_strings", "size_differs")
 
 
 PAGE = re.compile(r"\A﻿?\s*<(?:!DOCTYPE|html|\?xml|head|body|div|svg)\b", re.I)
@@ -76,7 +76,8 @@ STRINGS, DIGITS = FEATURES.index("strings"), FEATURES.index("digits")
 
 def features(text: str, gap: int) -> list[float]:
     """What the forest sees of a text whose header comments are off. ``gap`` is how far the stated size of the file is from
-    that of the whole text: taken of the rest it would tell how long the header was, and so whether there is a notice."""
+    that of the whole text. Only whether there is one counts: its length could tell how long the header was, and so
+    whether there is a notice."""
     raw = text.encode("utf-8", "surrogatepass")
     n = max(1, len(text))
     lines = text.split("\n")
@@ -105,7 +106,7 @@ def features(text: str, gap: int) -> list[float]:
         math.log1p(n), math.log1p(len(lines)), n / len(lines), math.log1p(max(map(len, lines))), len(zlib.compress(raw, 1)) / max(1, len(raw)),
         -sum(c / m * math.log2(c / m) for c in counts.values()), len(counts) / m, mean, short / k,
         math.sqrt(max(0.0, squares / k - mean * mean)), (len(text) - len(bare)) / n, held / n, digits / n, signs / m,
-        sum(map(text.count, " \t\r\n")) / n, len(shapes) / max(1, len(lines)), sum(s.count(" ") for s in strings) / max(1, held), math.log1p(gap)]
+        sum(map(text.count, " \t\r\n")) / n, len(shapes) / max(1, len(lines)), sum(s.count(" ") for s in strings) / max(1, held), float(gap > 0)]
 
 
 def declared(path: str, text: str, values: float = 1.0) -> tuple[bool, bool]:
