@@ -5,7 +5,8 @@ into words. A dynamic program labels the words with languages: every word has a
 every language, a change of language costs a penalty, and the labelling of least cost
 is the segmentation, so a stray name inside a sentence doesn't break it. Code words
 (names with signs or digits, paths, calls) are set aside first; two in a row end a run of text.
-Segment bytes are summed by file and language.
+Segment bytes are summed by file and language. However short, every comment and literal counts; a lone word
+counts where it is the whole of one, as beside code or other scripts it is a stray name.
 
 Scores are those of a character-trigram model with a word list, trained on a bounded sample of
 labelled texts, together with a gibberish model that stands for "no language". Chinese and Japanese,
@@ -45,12 +46,17 @@ SMALL = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está",
 }
 
+# Accented letters that each language is written with.
+ACCENTED = {"en": "", "de": "äöüß", "fr": "àâæçèéêëîïôœùûüÿ", "es": "áéíñóúü"}
+
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 EAST = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ]")
 KANA = re.compile("[぀-ヿｦ-ﾝ]")
 CLAUSE = re.compile("[^。！？!?\n]+[。！？!?\n]*")
 CYRILLIC = re.compile("[Ѐ-ӿ]")
 CODE = re.compile(r"[_\\=<>{}@$%^&~|]|::|->|\w[./:]\w|/\w|\w\(|\w\[|[a-zà-ÿ][A-Z]|\d|^[A-Z]{2,}-[A-Z]{2,}(?:-\w+)*:?$")
+# tags of editors, which are no words
+MARKERS = re.compile(r"\b(?:TODO|FIXME|XXX)\b")
 _C_STRING = r"\"(?:[^\"\\\n]|\\.)*\""
 SCANNERS = {
     "python": re.compile(r"(?P<c>#[^\n]*(?:\n[ \t]*#[^\n]*)*)|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|" + _C_STRING + r"|'(?:[^'\\\n]|\\.)*')", re.S),
@@ -101,7 +107,8 @@ class Scores(dict):
                 tri = w[i:i + 3]
                 p += math.log((grams.get(tri, 0) + 0.05) / (grams.get(tri[:2], 0) + 0.05 * 60))
             listed = self.words[lang].get(word, 0) / n_words
-            out.append(-math.log(0.5 * listed + 0.5 * math.exp(max(p, -300.0)) + 1e-130))
+            strange = sum(x > "\x7f" and x.isalpha() and x not in ACCENTED[lang] for x in word)
+            out.append(GIBBERISH * strange - math.log(0.5 * listed + 0.5 * math.exp(max(p, -300.0)) + 1e-130))
         out.append(GIBBERISH * (len(word) + 1))
         v = self[word] = tuple(out)
         return v
@@ -176,18 +183,21 @@ def spans(text: str, scores: Scores) -> list[tuple[str, int, int]]:
             last = lang
     words: list[str] = []
     gaps: list[bool] = []
-    code = 2
+    code, alone = 2, True
     for chunk in text.split():
         if CODE.search(chunk):
             code += 1
+            alone = False
             continue
         for w in WORD.findall(chunk):
             if EAST.search(w):
                 code = 2
+                alone = False
                 continue
             words.append(w.lower())
             gaps.append(code >= 2)
             code = 0
+    alone = alone and len(words) == 1 and not MARKERS.search(text)
     at = 0
     while at < len(words):
         end = at + 1
@@ -196,7 +206,7 @@ def spans(text: str, scores: Scores) -> list[tuple[str, int, int]]:
             end += 1
         if cyr:
             out.append(("ru", end - at, sum(len(w.encode()) + 1 for w in words[at:end])))
-        elif end - at >= 2:
+        elif end - at >= 2 or alone:
             labels = best_labels([scores[w] for w in words[at:end]])
             i = 0
             while i < len(labels):
@@ -215,20 +225,22 @@ MARKS = re.compile(r"^[ \t]*(?:#+!?|//[/!]*|/\*+!?|\*+/?|\*)[ \t]?", re.M)
 
 
 def texts_of(extension: str, text: str) -> Iterator[tuple[str, str]]:
-    """(kind, text) of the comments and literals, without their signs; short ones are left out."""
+    """(kind, text) of the comments and literals, without their signs; names and queries in literals are left out."""
     kind = family(extension, text)
     if kind is None:
         return
     for m in SCANNERS[kind].finditer(text):
-        s = m["c"] or m["s"]
-        if s is None or len(s) < 14:
-            continue
-        if m["c"] is not None:
+        s = m["c"]
+        if s is not None:
             yield "comment", MARKS.sub(" ", TAG.sub("", s) if "SPDX-" in s else s)
-        elif (" " in s or EAST.search(s)) and not STATEMENT.match(s.strip("\"'`")):
-            yield "string", s.strip("\"'`").replace("\\n", "\n").replace("\\t", " ")
+        elif m["s"] is not None:
+            s = m["s"].strip("\"'`")
+            if not NAME.fullmatch(s) and not STATEMENT.match(s):
+                yield "string", s.replace("\\n", "\n").replace("\\t", " ")
 
 
+# names of parts joined by signs, as in log-level or a,b
+NAME = re.compile(r"[!-~]*[A-Za-z][!-&(-@\[-`{-~]+[A-Za-z][!-~]*")
 STATEMENT = re.compile(r"\s*(?:SELECT\b.*\bFROM|INSERT\s+INTO|UPDATE\s+\S+\s+SET|DELETE\s+FROM|(?:CREATE|ALTER|DROP)\s+(?:TABLE|INDEX|VIEW)|WITH\s+\w+\s+AS\s*\()\b", re.S)
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("nat_lang", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("share", T.DoubleType()),

@@ -141,3 +141,14 @@ def test_language_table(spark, model):
     docs = spark.createDataFrame([(1, "EN", (TEXTS["en"] + " ") * 2), (2, "de-DE", (TEXTS["de"] + " ") * 2), (3, None, "x x"), (4, "en", ""), (5, "th", "x x"), (6, "en", None)], "doc_id long, lang string, text string")
     words = L.word_counts(docs)
     assert {k for k, _, _ in words} == {"de", "en"} and ("de", "die", 2) in words and ("de", "tabelle", 2) in words and L.word_counts(docs.limit(0)) == []
+
+
+def test_short_texts_count(spark, model):
+    sc = L.Scores(model)
+    assert [s[0] for s in L.spans("à revoir", sc)] == ["fr"] and L.spans("index", sc) == [("en", 1, 6)]
+    assert L.spans("TODO", sc) == [] and L.spans("return read_x(a) + b_c", sc) == []
+    assert list(L.texts_of("py", "x = 'log-level'; y = 'rows'  # 待办\n")) == [("string", "rows"), ("comment", " 待办")]
+    f = spark.createDataFrame([("a", "a.py", "x = 1  # 待办\n"), ("b", "b.go", "// see the\nx"), ("c", "c.js", "f('rows'); g('log-level')"), ("d", "d.py", "# проверить"), ("e", "e.py", "s = 'a b c d e f'  # this is the table of the index\n")], "id string, file_path string, content string")
+    rows = {(r["id"], r["nat_lang"]): r["bytes"] for r in L.languages(f, model).collect()}
+    assert rows[("a", "zh")] == 6 and rows[("b", "en")] == 8 and rows[("c", "en")] == 5 and ("d", "ru") in rows
+    assert L.running_text(L.languages(f, model)).filter("id <> 'e'").collect() == []
