@@ -3,7 +3,8 @@
 Only the histogram of lengths reaches the driver: at most ``capacity`` numbers, whatever the
 number of documents. Lengths are placed longest first. A length goes into the open packs
 that are shortest so far, if it fits there, else into new packs; equal packs are one pattern
-with a count, so placing n pieces of a length changes a few counts and not n packs. Each
+with a count, so placing n pieces of a length changes a few counts and not n packs. The shortest
+packs take as many pieces at once as leave them no longer than the next, or a sixteenth of what fits. Each
 placement is written down as a slot: for one length, which ranks go to which containers.
 Every document gets the rank of its piece among those of its length, by counts of shares
 rather than one sort of a whole length, and joins its slot.
@@ -27,8 +28,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Shares of a length in ranking.
 SHARES = 64
-#: A container takes no more pieces than this.
-MOST_PIECES = 512
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -47,41 +46,44 @@ def token_counts(texts: DataFrame, id_col: str, text_col: str, vocabulary: str =
     return texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, tokens long")
 
 
-def slots(histogram: dict[int, int], capacity: int, most: int = MOST_PIECES) -> list[tuple[int, int, int, int, int]]:
+def slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first container, pieces a container) for all pieces.
 
     Rank r of the length sits in container ``first container + (r - first rank) // pieces``.
     """
-    # open packs by free room: runs of containers (first, count, pieces so far)
-    room: dict[int, list[tuple[int, int, int]]] = {}
+    # open packs by free room: runs of containers (first, count)
+    room: dict[int, list[tuple[int, int]]] = {}
     free: list[int] = []
 
-    def put(left: int, run: tuple[int, int, int]) -> None:
-        if left > 0 and run[1] and run[2] < most:
+    def put(left: int, run: tuple[int, int]) -> None:
+        if left > 0 and run[1]:
             if left not in room:
                 room[left] = []
                 heapq.heappush(free, -left)
             room[left].append(run)
 
+    def most() -> int:
+        while free and not room.get(-free[0]):
+            room.pop(-heapq.heappop(free), None)
+        return -free[0] if free else 0
+
     out, containers = [], 0
     for length in sorted((x for x in histogram if x > 0), reverse=True):
         rank, left = 0, histogram[length]
         while left:
-            while free and not room.get(-free[0]):
-                room.pop(-heapq.heappop(free), None)
-            if free and -free[0] >= length:
-                have = -free[0]
-                first, count, held = room[have].pop()
+            have = most()
+            if have >= length:
+                first, count = room[have].pop()
                 use = min(count, left)
-                put(have, (first + use, count - use, held))
-                each = 1
+                put(have, (first + use, count - use))
+                each = max(1, min(max((have - most()) // length, have // length // 16), left // use))
             else:
-                have, held = capacity, 0
-                each = max(1, min(capacity // length, left, most))
+                have = capacity
+                each = max(1, min(capacity // length, left))
                 use = max(1, left // each)
                 first = containers
                 containers += use
-            put(have - each * length, (first, use, held + each))
+            put(have - each * length, (first, use))
             out.append((length, rank, rank + use * each, first, each))
             rank += use * each
             left -= use * each

@@ -65,3 +65,15 @@ def test_tokens(spark, data):
     assert n == {1: 5, 2: 0, 3: 0, 4: len(enc.encode_ordinary("日本 \n\n x" * 1000)), 5: len(enc.encode_ordinary("<|endoftext|>"))}
     packed = K.pack_documents(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/pack_limits.parquet"))
     assert packed.select("limit_id", "doc_id").distinct().count() == 4 * spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("hist", [{3: 40_000}, {3: 40_000, 700: 900, 5_000: 2}, {1: 100_001, 2: 7, 4_000: 30}])
+def test_very_short_texts_fill_containers(hist):
+    cap = 5_000
+    out, fill = K.slots(hist, cap), {}
+    for length, lo, hi, first, each in out:
+        for r in range(lo, hi):
+            c = first + (r - lo) // each
+            fill[c] = fill.get(c, 0) + length
+    assert sum(fill.values()) == sum(k * v for k, v in hist.items()) and max(fill.values()) <= cap
+    assert len(fill) == -(-sum(fill.values()) // (cap - cap % min(hist))) and len(out) < 500
