@@ -14,8 +14,8 @@
    rather than once per pair. Large cells are split by the pair's first vector.
 
 Vectors that are equal after scaling are one vector in steps 2 to 4; they get each other as
-neighbours from their ids alone. Small collections are cut into more substrings, which
-widens the radius; large ones keep ``TABLES``.
+neighbours from their ids alone. Collections of any size are cut into so many substrings that
+every pair within ``radius`` is found for certain; small ones into more where that is cheaper.
 """
 
 from __future__ import annotations
@@ -37,9 +37,6 @@ BITS = 64
 SAMPLE = 20_000
 #: Pairs of codes farther apart than this aren't reranked.
 RADIUS = 17
-#: Substrings at least. With fewer, buckets are smaller but the radius that is found for certain shrinks: four of 16 bits
-#: find 11 of 64 bits at any size, and their larger buckets are compared by block, a few nanoseconds a pair.
-TABLES = 4
 #: Vectors a cell should hold; pairs of one cell are scored by one task. Large cells split few neighbourhoods.
 CELL = 16_000
 CELLS = 8
@@ -100,6 +97,14 @@ def centres(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def table_count(total: int, radius: int = RADIUS) -> int:
+    """Substrings for ``total`` vectors: at least as many as find ``radius`` for certain. A key has room for eight."""
+    least = -(-(radius + 1) // 3)
+    if least > 8:
+        raise ValueError(f"a radius of {radius} bits needs {least} substrings, of 8")
+    return max(least, min(7, round(BITS / math.log2(max(total, 16)))))
+
+
 def substrings(bits: int, tables: int) -> list[tuple[int, int]]:
     """(shift, length) of each substring."""
     out, at = [], 0
@@ -258,8 +263,7 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     mean, rot = rotation(sample)
     cells = max(CELLS, min(4_096, math.ceil(total / CELL)))
     mid = centres(sample, cells)
-    tables = max(TABLES, min(7, round(BITS / math.log2(max(total, 16)))))
-    parts = substrings(BITS, tables)
+    parts = substrings(BITS, table_count(total, radius))
     model = spark.sparkContext.broadcast((mean, rot, mid))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

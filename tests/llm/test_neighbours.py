@@ -74,3 +74,11 @@ def test_pair_meets_once():
                 for k in set(keys(x[i])) & set(keys(y[i])):
                     times[i] += bool(V._met((k << 3) | t, x[i:i + 1], y[i:i + 1], parts)[0])
         assert (times == 1).all(), flips
+
+
+@pytest.mark.parametrize("total", [0, 1_500, 12_000, 120_000, 1_200_000, 10**9])
+def test_radius_is_certain_at_every_size(total):
+    assert 3 * V.table_count(total) - 1 >= V.RADIUS
+    assert 3 * V.table_count(total, 20) - 1 >= 20
+    with pytest.raises(ValueError):
+        V.table_count(total, 24)
