@@ -140,7 +140,9 @@ def measured(files: DataFrame) -> DataFrame:
         for batch in batches:
             ids, made, copied, rows = [], [], [], []
             for i, path, text, size in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if i is None or not text or is_page(text):
+                text = text or ""
+                # dependencies kept in the tree are copies whatever they hold
+                if i is None or not (path and VENDORED.search(path)) and (not text or is_page(text)):
                     continue
                 ids.append(i)
                 gap = abs(size - len(text.encode("utf-8", "surrogatepass"))) if size is not None else 0
@@ -159,7 +161,7 @@ def measured(files: DataFrame) -> DataFrame:
 def votes(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(id, made, copied, vote): the last forest's share of votes for "made by a tool".
 
-    Null ids, null or empty texts, web pages and prose have no row; a null path or size is read as unknown. Without
+    Null ids have no row, nor have null or empty texts, web pages and prose outside dependency folders; a null path or size is read as unknown. Without
     both declared and other files there is nothing to learn and the vote is the declaration.
     """
     from pyspark.ml.classification import RandomForestClassifier

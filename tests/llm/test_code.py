@@ -152,3 +152,10 @@ def test_short_texts_count(spark, model):
     rows = {(r["id"], r["nat_lang"]): r["bytes"] for r in L.languages(f, model).collect()}
     assert rows[("a", "zh")] == 6 and rows[("b", "en")] == 8 and rows[("c", "en")] == 5 and ("d", "ru") in rows
     assert L.running_text(L.languages(f, model)).filter("id <> 'e'").collect() == []
+
+
+def test_dependency_folders_count_whatever_they_hold(spark):
+    rows = [("null", "node_modules/x/a.js", None, 1), ("empty", "vendor/x/a.go", "", None), ("page", "third_party/x.js", "<!DOCTYPE html>\n<p>x", 1), ("prose", "a/vendor/b.py", "# A\n\n* b\n* c\n* d\n", 1), (None, "vendor/a.go", None, 1),
+            ("own", "src/x.js", "<html>", 1), ("none", "src/a.js", None, 1), ("blank", None, "", 1), ("h", "src/h.py", HAND.format(1, 2), 1)]
+    got = H.not_handwritten(spark.createDataFrame(rows, "id string, file_path string, content string, file_size long")).collect()
+    assert {r[0] for r in got} == {"null", "empty", "page", "prose"}
