@@ -70,3 +70,8 @@ def test_table(spark):
     rows = S.sentences(d.dropDuplicates()).collect()
     assert sorted((r[1], r[2]) for r in rows if r[0] == 1) == [(0, 4), (5, 9)] and {r[0] for r in rows} == {1, 5} and sum(r[0] == 5 for r in rows) == 20_000
     assert S.sentences(d.limit(0)).collect() == []
+
+
+def test_repeated_rows_give_their_sentences_once(spark):
+    d = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (2, "One.")], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, S.sentences(d).collect())) == [(1, 0, 4), (1, 5, 9), (2, 0, 4)]
