@@ -396,9 +396,8 @@ def token_estimate(spark, d):
 
 @query("SELECT count(*) AS rows, count(DISTINCT sha256(text)) AS texts, count(DISTINCT text) AS same FROM documents")
 def dedup_hash(spark, d):
-    t = load(spark, d, "documents").select(C.content_digest("text").alias("h"))
-    one = t.agg(F.count("*").alias("rows"), F.countDistinct("h").alias("texts"))
-    return one.withColumn("same", F.col("texts"))
+    t = load(spark, d, "documents").select("text", C.content_digest("text").alias("h"))
+    return t.agg(F.count("*").alias("rows"), F.countDistinct("h").alias("texts"), F.countDistinct("text").alias("same"))
 
 
 _HALF = "CAST(strlen(text) // 2 AS BIGINT)"

@@ -242,3 +242,11 @@ def test_quantiles(spark):
 def test_unit_vectors(spark):
     d = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>").select(C.unit_vector("v").alias("u"))
     assert [list(r[0]) for r in d.collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_dedup_hash_counts_the_texts_themselves(spark, data, monkeypatch):
+    from marlstone.plans import reference
+
+    monkeypatch.setattr(reference.C, "content_digest", lambda c: F.when(F.col(c).isNotNull(), F.lit("x")))
+    r = reference.dedup_hash(spark, data).collect()[0]
+    assert r["texts"] == 1 and r["same"] == spark.read.parquet(f"{data}/documents.parquet").select("text").filter("text is not null").distinct().count() > 1
