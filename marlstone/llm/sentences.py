@@ -7,18 +7,27 @@ markers (quotes, comments) are blanked but keep their places. In prose:
   edge between two nodes is a possible sentence. An edge pays for every end mark it runs
   over (much for a clear one, nothing for an abbreviation), for ending at a doubtful mark,
   and for cutting a quotation or bracket in two. The cheapest path is the segmentation.
-  Marks that are clear on their own cut the lattice, so paths stay short.
-* **Spaceless scripts** get a word lattice on either side of a gap: the cheapest way through a
-  dictionary of particles, endings and connectives (other signs pass singly). A gap
-  is classified by the final particle before it and the opening word after it: an ellipsis before a
-  connective goes on, and so does a closed quotation before a quotative.
+  Clear marks beyond which no quotation is open cut the lattice, and an edge that has run over
+  too much is given up, so time grows with the text and not with the square of a paragraph.
+* **Spaceless scripts** get a word lattice over the whole clause on either side of a gap: the
+  cheapest way through a dictionary, which holds the words of a public vocabulary, weighted by rank, and
+  particles, endings and connectives. A gap is classified by the final particle before it and the
+  opening word after it: an ellipsis before a connective goes on, and so does a closed quotation
+  before a quotative. In a paragraph without any end mark every word boundary is a gap, and those between
+  a final particle and an opening word end a sentence.
 * **Thai** ends at white space between two Thai characters.
 """
 
 from __future__ import annotations
 
+import base64
+import math
 import re
+from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,16 +55,30 @@ FINAL = "了 吧 呢 吗 啊 呀 嘛 的 です ます ました でした だ 
 CONNECTIVES = "然后 而且 而 但是 但 可是 却 于是 所以 并且 并 也 因此 不过 そして しかし だが でも だから それで それから また が けれど けれども つまり".split()
 QUOTATIVES = "と って という といって とは との などと 他们 她们 他 她 我 我们 大家 有人 这样说 说 道 问 写道".split()
 OTHERS = "は が を に で の へ も や から まで より ので のに なら 前に あとで ときは 是 在 和 与 把 被 对 从 到 如果 因为 虽然 即使 只要 除非 一旦 当".split()
-_WORDS = {w: kind for kind, ws in (("other", OTHERS), ("final", FINAL), ("connective", CONNECTIVES), ("quotative", QUOTATIVES)) for w in ws}
-_LONGEST = max(map(len, _WORDS))
+PRONOUNS = tuple("我 你 您 他 她 它 咱 私 僕 彼".split())
+# Polite and past endings after which a sentence without marks may end.
+ENDINGS = tuple("です ます ました でした ません だった 了 吧 呢 吗 啊 呀 嘛".split())
+_KINDS = {w: kind for kind, ws in (("other", OTHERS), ("final", FINAL), ("connective", CONNECTIVES), ("quotative", QUOTATIVES)) for w in ws}
+
+#: A public vocabulary (token in base 64 and rank on each line) whose words are the dictionary of the spaceless scripts.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Cost of a sign that no entry of the dictionary covers.
+UNKNOWN = 12.0
+#: Quotations and brackets that can be open at once; the outermost of more is forgotten.
+NESTED = 32
+#: Line markers within line markers; what is deeper is prose.
+LEVELS = 20
 
 OPEN, CLOSE = "([{（［【「『〈《“„«‹‘\"", ")]}）］】」』〉》”“»›’\""
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "〈": "〉", "《": "》", "«": "»", "‹": "›"}
-_CLOSERS = r"[\"”“»›’'）)\]}］】」』〉》*_]*"
+_CLOSERS = r"[\"”“»›’'）)\]}］】」』〉》*_]*+"
 EAST = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
+EAST_RUN = re.compile(f"[{EAST}]+")
+SPACE = re.compile(r"\s*")
+WORD = re.compile(r"\w+")
 CANDIDATE = re.compile(
-    rf"(?P<east>(?:[。｡！？]|(?<=[{EAST}])[!?])[。｡！？!?…]*{_CLOSERS})|(?P<dots>(?<=[{EAST}）」』])(?:…+|⋯+|\.\.\.+))"
-    rf"|(?P<end>[.!?…।॥؟۔]+{_CLOSERS})(?=\s|$)"
+    rf"(?P<east>(?:[。｡！？]|(?<=[{EAST}])[!?])[。｡！？!?…]*+{_CLOSERS})|(?P<dots>(?<=[{EAST}）」』])(?:…+|⋯+|\.\.\.+))"
+    rf"|(?P<end>(?<![.!?…।॥؟۔])[.!?…।॥؟۔]++{_CLOSERS})(?=\s|$)"
     r"|(?P<thai>(?<=[฀-๿])\s+(?=[฀-๿]))")
 QUOTES = re.compile(r"[()\[\]{}（）［］【】「」『』〈〉《》«»‹›“”„\"]")
 FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
@@ -69,52 +92,108 @@ INTEGER = re.compile(r"\d+(?![\d.,%])(?=\s)")
 
 #: Costs of the terminator lattice.
 SKIP_CLEAR, END_DOUBT, CUT_PAIR, NEVER = 10.0, 3.0, 8.0, 1e9
+#: An edge that has run over so much is given up; cutting at a clear mark costs less.
+GIVE_UP = 60.0
 
 
-def lattice_words(s: str) -> list[str]:
-    """The cheapest way through the dictionary: known words cost 1, other signs 1.5 each."""
-    n = len(s)
-    cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
-    for i in range(n):
-        for size in range(1, min(_LONGEST, n - i) + 1):
-            c = cost[i] + (1.0 if s[i:i + size] in _WORDS else 1.5 if size == 1 else 1e9)
-            if c < cost[i + size]:
-                cost[i + size], back[i + size] = c, i
-    out = []
-    while n:
-        out.append(s[back[n]:n])
-        n = back[n]
-    return out[::-1]
-
+class Dictionary:
+    """Words of the spaceless scripts with their costs, by first sign."""
 
-def _east_end(s: str, m: re.Match, pairs: list[tuple[int, int]], start: int) -> bool:
+    def __init__(self, vocabulary: bytes = b"") -> None:
+        cost = {}
+        for line in vocabulary.splitlines():
+            token, _, rank = line.partition(b" ")
+            try:
+                word = base64.b64decode(token).decode().strip()
+            except ValueError:  # a part of a sign
+                continue
+            if EAST_RUN.fullmatch(word):
+                cost.setdefault(word, math.log(2 + int(rank)))
+        for word in (*_KINDS, *PRONOUNS, *ENDINGS):
+            cost[word] = min(cost.get(word, 99.0), 5.0 + 0.5 * len(word))
+        self.single = {w: c for w, c in cost.items() if len(w) == 1}
+        self.longer: dict[str, list[tuple[str, int, float]]] = {}
+        for w, c in cost.items():
+            if len(w) > 1:
+                self.longer.setdefault(w[0], []).append((w, len(w), c))
+        self.size = len(cost)
+
+    def words(self, s: str) -> list[str]:
+        """The cheapest way through the lattice of all words that occur in ``s``."""
+        n = len(s)
+        best, back = [0.0] + [1e18] * n, [0] * (n + 1)
+        single, longer = self.single, self.longer
+        for i, ch in enumerate(s):
+            here = best[i]
+            c = here + single.get(ch, UNKNOWN)
+            if c < best[i + 1]:
+                best[i + 1], back[i + 1] = c, i
+            for w, size, cost in longer.get(ch, ()):
+                if s.startswith(w, i) and here + cost < best[i + size]:
+                    best[i + size], back[i + size] = here + cost, i
+        out = []
+        while n:
+            out.append(s[back[n]:n])
+            n = back[n]
+        return out[::-1]
+
+
+@cache
+def dictionary(path: str = VOCABULARY) -> Dictionary:
+    return Dictionary(Path(path).read_bytes())
+
+
+def _east_end(s: str, m: re.Match, inside: tuple, start: int, known: Dictionary) -> bool:
     """Does a sentence end at this mark of a spaceless script?"""
     mark_end = m.end()
-    rest = s[mark_end:mark_end + 12].lstrip()
-    if not rest:
+    at = SPACE.match(s, mark_end).end()
+    if at == len(s):
         return True
-    opening = lattice_words(rest)[0]
-    kind = _WORDS.get(opening)
+    first = s[at]
     if m["dots"]:
-        if kind == "connective" or rest[0] in "，、,;；":
+        if first in "，、,;；":
+            return False
+        before = known.words(s[max(start, _clause(s, m.start())):m.start()])
+        if not before or not before[-1].endswith(tuple(FINAL)):
             return False
-        before = lattice_words(s[max(start, m.start() - 6):m.start()])
-        return bool(before) and _WORDS.get(before[-1]) == "final" and (mark_end == len(s) or kind != "other")
-    if rest[0] in "，、,；;：:–—）)」』":
+        run = EAST_RUN.match(s, at)
+        kind = _KINDS.get(known.words(run[0])[0]) if run else None
+        return kind != "connective" and (mark_end == len(s) or kind != "other")
+    if first in "，、,;；:：–—）)」』":
         return False
-    at = m.start()
-    inside = [p for p in pairs if p[0] < at < p[1]]
     if inside:
-        if any(p[1] >= mark_end for p in inside):
+        if any(c >= mark_end for _, c in inside):
             return False
         # the mark closes a quotation: a quotative takes it up again
-        return kind != "quotative"
+        run = EAST_RUN.match(s, at)
+        return not run or _KINDS.get(known.words(run[0])[0]) != "quotative"
     return True
 
 
+def _clause(s: str, end: int) -> int:
+    """Where the run of spaceless script before ``end`` begins."""
+    i = end
+    while i and EAST_RUN.match(s, i - 1, i):
+        i -= 1
+    return i
+
+
+def _markless(s: str, known: Dictionary) -> list[int]:
+    """Ends of sentences in a paragraph of spaceless script that has no end mark: after a final particle, before an opening word."""
+    out = []
+    for run in EAST_RUN.finditer(s):
+        words = known.words(run[0])
+        at = run.start()
+        for here, after in zip(words, words[1:]):
+            at += len(here)
+            if here.endswith(ENDINGS) and (after.startswith(PRONOUNS) or _KINDS.get(after) == "connective" and after not in ("が", "けれど", "けれども", "でも", "也", "却")):
+                out.append(at)
+    return out
+
+
 def quote_pairs(s: str) -> list[tuple[int, int]]:
-    """(open, close) of the quotations and brackets, by first sign."""
-    out, stack = [], []
+    """(open, close) of the quotations and brackets, by first sign; two of them are apart or one holds the other."""
+    out, stack = [], deque(maxlen=NESTED)
     for m in QUOTES.finditer(s):
         ch, i = m[0], m.start()
         if ch in "“\"”":
@@ -141,6 +220,22 @@ def quote_pairs(s: str) -> list[tuple[int, int]]:
     return out
 
 
+def _open_at(marks: list[re.Match], pairs: list[tuple[int, int]]) -> list[tuple[tuple[int, int], ...]]:
+    """The pairs that each mark lies in, outermost first."""
+    out, held, k = [], [], 0
+    for m in marks:
+        at = m.start()
+        while k < len(pairs) and pairs[k][0] < at:
+            while held and held[-1][1] < pairs[k][0]:
+                held.pop()
+            held.append(pairs[k])
+            k += 1
+        while held and held[-1][1] <= at:
+            held.pop()
+        out.append(tuple(held))
+    return out
+
+
 def _abbreviation(s: str, at: int, lo: int) -> str:
     """The word before the full stop at ``at`` with the stops in it, and what was left of a spaced one ("и т. д.")."""
     i = at
@@ -220,8 +315,7 @@ def _judge(s: str, m: re.Match, lo: int, german: bool) -> tuple[float, float]:
         if closers:
             return NEVER, 0.0
         if opens == "upper" and german:
-            k = WORD_START.match(s, m.end() + len(s[m.end():]) - len(s[m.end():].lstrip())).end()
-            first = re.match(r"\w+", s[k:])
+            first = WORD.match(s, WORD_START.match(s, SPACE.match(s, m.end()).end()).end())
             return (0.0, SKIP_CLEAR) if first and first[0].lower() in GERMAN_OPENERS else (NEVER, 0.0)
         return (0.0, SKIP_CLEAR) if opens in ("upper", "name", "number") else (NEVER, 0.0)
     if word in GOES_ON or len(word) == 1 and word.isalpha():
@@ -229,100 +323,94 @@ def _judge(s: str, m: re.Match, lo: int, german: bool) -> tuple[float, float]:
     if word.isdigit() and opens == "lower":
         return NEVER, 0.0
     if opens == "mark":
-        return END_DOUBT, 2.0 if s[m.end():].lstrip()[:1] not in "–—-,;:" else 0.0
+        return END_DOUBT, 2.0 if s[SPACE.match(s, m.end()).end()] not in "–—-,;:" else 0.0
     return 0.0, SKIP_CLEAR
 
 
-def _spaced(s: str, marks: list[re.Match], pairs: list[tuple[int, int]], start: int, german: bool) -> list[int]:
+class _Node(NamedTuple):
+    """A mark at which a sentence may end, with the pairs that stay open beyond it, outermost first."""
+
+    to: int
+    end: float
+    go: float
+    open: tuple[tuple[int, int], ...]
+
+
+def _spaced(s: str, marks: list[tuple[re.Match, tuple]], start: int, german: bool) -> list[int]:
     """Ends of the cheapest path through the lattice of ``marks``; the last may be the end of the text."""
-    nodes: list[tuple[int, float, float, int]] = []
-    for m in marks:
-        end, go = _judge(s, m, start, german)
-        if end < NEVER:
-            nodes.append((m.end(), end, go, m.start()))
-    out, i = [], 0
-    while i < len(nodes):
-        # gather up to a mark that is clear and lies in no pair
-        j = i
-        while j < len(nodes):
-            e, end, go, at = nodes[j]
-            if end == 0 and go >= SKIP_CLEAR and not any(o < at < c for o, c in pairs):
-                break
-            j += 1
-        part = nodes[i:j + 1]
-        if len(part) == 1 and j < len(nodes):
-            out.append(part[0][0])
-        else:
-            out += _cheapest(s, part, [p for p in pairs if p[1] >= start], start, j < len(nodes))
-        i = j + 1
-        if out:
-            start = out[-1]
+    out: list[int] = []
+    part: list[_Node] = []
+    lo = start
+    for m, inside in marks:
+        end, go = _judge(s, m, lo, german)
+        if end >= NEVER:
+            continue
+        node = _Node(m.end(), end, go, tuple(p for p in inside if p[1] >= m.end()))
+        part.append(node)
+        # gather up to a mark that is clear and beyond which no pair is open
+        if end == 0 and go >= SKIP_CLEAR and not node.open:
+            out += [node.to] if len(part) == 1 else _cheapest(s, part, start, True)
+            start, part = node.to, []
+    if part:
+        out += _cheapest(s, part, start, False)
     return out
 
 
-def _cheapest(s: str, part: list[tuple[int, float, float, int]], pairs: list[tuple[int, int]], start: int, closed: bool) -> list[int]:
+def _cheapest(s: str, part: list[_Node], start: int, closed: bool) -> list[int]:
+    """Ends of the cheapest path through ``part``; unless ``closed`` it goes on to the end of the text."""
     n = len(part)
-    ends = [p[0] for p in part] + ([] if closed else [len(s)])
-    size = len(ends)
+    size = n if closed else n + 1
     best, back = [0.0] + [1e18] * size, [-1] * (size + 1)
     for i in range(size):
-        if best[i] >= 1e18:
-            continue
-        lo = start if i == 0 else ends[i - 1]
-        while lo < len(s) and s[lo].isspace():
-            lo += 1
-        run = best[i]
+        lo = SPACE.match(s, part[i - 1].to if i else start).end()
+        held = [c for o, c in part[i - 1].open if o < lo < c] if i else []
+        first = run = best[i]
         for j in range(i, size):
-            e = ends[j]
-            cost = run + (part[j][1] if j < n else 0.0)
-            at = part[j][3] if j < n else e
-            for o, c in pairs:
-                if o >= e:
+            to, end, go, pairs = part[j] if j < n else (len(s), 0.0, 0.0, ())
+            cost = run + end
+            for o, _ in reversed(pairs):
+                if o < lo:
                     break
-                if lo <= o < at < c and c >= e:
-                    cost += CUT_PAIR + (4.0 if o > lo else 0.0)
-                elif o < lo <= c < e and c - lo > 0:
-                    cost += 0.5
+                cost += CUT_PAIR + (4.0 if o > lo else 0.0)
+            for c in held:
+                cost += 0.5 * (c < to)
             if cost < best[j + 1]:
                 best[j + 1], back[j + 1] = cost, i
-            run += part[j][2] if j < n else 0.0
-            # a mark within a quotation that began inside the sentence costs little to run over
-            if j < n and any(lo < o < at < c for o, c in pairs):
-                run -= min(part[j][2], SKIP_CLEAR) if any(lo < o < at < c and c >= ends[j] for o, c in pairs) else 0.0
+            # a mark within a quotation that began inside the sentence costs nothing to run over
+            if not (pairs and pairs[-1][0] > lo):
+                run += go
+                if run > first + GIVE_UP:
+                    break
     out, j = [], size
     while j > 0:
-        out.append(ends[j - 1])
+        out.append(part[j - 1].to if j <= n else len(s))
         j = back[j]
     out.reverse()
     return out
 
 
-def _prose(s: str, german: bool) -> list[tuple[int, int]]:
+def _prose(s: str, german: bool, known: Dictionary) -> list[tuple[int, int]]:
     """Sentences of one run of prose."""
     marks = list(CANDIDATE.finditer(s))
     cuts: list[int] = []
     if marks:
-        pairs = quote_pairs(s)
-        spaced: list[re.Match] = []
-        start = 0
+        spaced: list[tuple[re.Match, tuple]] = []
 
         def flush() -> None:
-            nonlocal spaced
             if spaced:
-                cuts.extend(x for x in _spaced(s, spaced, pairs, cuts[-1] if cuts else 0, german) if x < len(s))
-                spaced = []
+                cuts.extend(x for x in _spaced(s, spaced, cuts[-1] if cuts else 0, german) if x < len(s))
+                spaced.clear()
 
-        for m in marks:
+        for m, inside in zip(marks, _open_at(marks, quote_pairs(s))):
             if m["end"] is not None:
-                spaced.append(m)
+                spaced.append((m, inside))
                 continue
             flush()
-            start = cuts[-1] if cuts else 0
-            if m["thai"] is not None:
-                cuts.append(m.end())
-            elif _east_end(s, m, pairs, start):
+            if m["thai"] is not None or _east_end(s, m, inside, cuts[-1] if cuts else 0, known):
                 cuts.append(m.end())
         flush()
+    elif EAST_RUN.search(s):
+        cuts = _markless(s, known)
     out, lo = [], 0
     for hi in [*cuts, len(s)]:
         part = s[lo:hi]
@@ -333,7 +421,7 @@ def _prose(s: str, german: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(text: str, lines: list[tuple[int, int, int]], out: list[tuple[int, int]], german: bool) -> None:
+def _blocks(text: str, lines: list[tuple[int, int, int]], out: list[tuple[int, int]], german: bool, known: Dictionary, level: int = 0) -> None:
     """Sentences of ``lines`` (start, content start, end), whose markers before the content are left out."""
     para: list[tuple[int, int, int]] = []
 
@@ -347,7 +435,7 @@ def _blocks(text: str, lines: list[tuple[int, int, int]], out: list[tuple[int, i
                 for (_, _, end), (lo, cont, hi) in zip(para, para[1:]):
                     bits += [text[end:lo], " " * (cont - lo), text[cont:hi]]
                 s = "".join(bits)
-            out.extend((a + x, a + y) for x, y in _prose(s, german))
+            out.extend((a + x, a + y) for x, y in _prose(s, german, known))
             para.clear()
 
     def whole(a: int, b: int) -> None:
@@ -379,7 +467,7 @@ def _blocks(text: str, lines: list[tuple[int, int, int]], out: list[tuple[int, i
             flush()
             i += 1
             continue
-        if ch in ">/-|;%#*" and (p := PREFIX.match(text, cont, hi)):
+        if level < LEVELS and ch in ">/-|;%#*" and (p := PREFIX.match(text, cont, hi)):
             sign = next(g for g in p.groups() if g)
             j = i
             part = []
@@ -393,7 +481,7 @@ def _blocks(text: str, lines: list[tuple[int, int, int]], out: list[tuple[int, i
                     j += 1
             if sign != "#" or len(part) > 1:
                 flush()
-                _blocks(text, part, out, german)
+                _blocks(text, part, out, german, known, level + 1)
                 i, listed = j, False
                 continue
         if ch in "#=" and (h := HEADING.match(body)):
@@ -420,7 +508,7 @@ LINE = re.compile(r"[^\r\n\v\f\x85  ]*(?:\r\n|[\r\n\v\f\x85  ]|$)")
 _GERMAN = re.compile(r"\b(?:der|die|das|und|nicht|usw|bzw|den|dem)\b")
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
+def sentence_spans(text: str, known: Dictionary | None = None) -> list[tuple[int, int]]:
     """(start, end) of the sentences in code points, end exclusive. Blank texts have none."""
     if not text or text.isspace():
         return []
@@ -430,24 +518,27 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         lines.append((at, at, at + len(line.rstrip("\r\n\v\f\x1c\x1d\x1e\x85  "))))
         at = end
     out: list[tuple[int, int]] = []
-    _blocks(text, lines, out, bool(_GERMAN.search(text)))
+    _blocks(text, lines, out, bool(_GERMAN.search(text)), known or dictionary())
     return out
 
 
-def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, start_char, end_char) of the sentences of every text.
 
     Null ids and null, empty or blank texts have no row; repeated rows of an id give their
     sentences once; an empty table gives no rows. Whole texts are read whatever their length.
+    ``vocabulary`` is the file of the dictionary, read on the driver (about a megabyte).
     """
+    raw = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary(raw.value)
         for batch in batches:
             ids, starts, ends = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is None or not text:
                     continue
-                for a, b in sentence_spans(text):
+                for a, b in sentence_spans(text, known):
                     ids.append(i)
                     starts.append(a)
                     ends.append(b)

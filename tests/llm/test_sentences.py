@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,3 +77,25 @@ def test_table(spark):
 def test_repeated_rows_give_their_sentences_once(spark):
     d = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (2, "One.")], "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, S.sentences(d).collect())) == [(1, 0, 4), (1, 5, 9), (2, 0, 4)]
+
+
+def test_gaps_without_marks_follow_particles_and_openers():
+    assert cut("今天很好我们走吧他来了然后我们去公园") == ["今天很好我们走吧", "他来了", "然后我们去公园"]
+    assert cut("昨日は雨でしたしかし今日は晴れです私は行きます") == ["昨日は雨でした", "しかし今日は晴れです", "私は行きます"]
+    assert cut("稀疏的令牌与令牌") == ["稀疏的令牌与令牌"]
+
+
+def test_dictionary_covers_the_whole_clause():
+    known = S.dictionary()
+    assert known.size > 2_500
+    assert known.words("今天很好我们走吧他来了然后我们去公园")[:4] == ["今天", "很好", "我们", "走吧"]
+    assert "".join(known.words("龘龘我们龘")) == "龘龘我们龘" and known.words("") == []
+
+
+@pytest.mark.parametrize("text, count", [
+    ('He said "yes." ' * 70_000, 70_000), ("(A. " * 20_000 + ")" * 20_000, 1), ("(" * 50_000 + '"a." ' * 5_000, 1), ("." * 200_000 + "x", 1), (">// " * 3_000 + "x", 1),
+    ("He (A. B. " + "C. D. " * 50_000 + "). End.", 2), ("我们走……" * 20_000 + "吧。", 1)])
+def test_long_paragraphs_take_time_in_proportion(text, count):
+    began = time.process_time()
+    assert len(S.sentence_spans(text)) == count
+    assert time.process_time() - began < 10
