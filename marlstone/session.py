@@ -58,10 +58,13 @@ def ship(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if the cluster names one.
 
-    Only an unset value, as in tests on one machine, is replaced by a folder of our own.
+    Only an unset value on one machine, as in tests, is replaced by a folder of our own; on a cluster it is an error,
+    as executors would write to disks that others can't read.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -78,6 +81,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
@@ -87,6 +96,7 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
     """Move ``old`` to ``new`` unless ``new`` exists; tells whether it moved."""
     fs, p = _fs(spark, old)
     to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+    fs.mkdirs(to.getParent())
     return not fs.exists(to) and fs.rename(p, to)
 
 
