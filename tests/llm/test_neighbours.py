@@ -57,28 +57,55 @@ def test_few(spark, n):
     assert got == exact(ids[:n], m[:n].astype(np.float64)) if n else got == set()
 
 
-def test_pair_meets_once():
+@pytest.mark.parametrize("size, words", [(10, 1), (15, 2), (24, 3)])
+def test_pair_meets_once(size, words):
     rng = np.random.default_rng(1)
-    parts = V.substrings(64, 4)
-    x = rng.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)
-    for flips in range(0, 12):
-        y = x.copy()
-        for i in range(len(y)):
-            for b in rng.choice(64, flips, replace=False):
-                y[i] ^= np.uint64(1) << np.uint64(b)
-        times = np.zeros(len(x), dtype=int)
-        for t, (shift, size) in enumerate(parts):
-            mask = np.uint64((1 << size) - 1)
-            keys = lambda z, shift=shift, size=size, mask=mask: [int((z >> np.uint64(shift)) & mask) ^ f for f in (0, *(1 << b for b in range(size)))]
-            for i in range(len(x)):
-                for k in set(keys(x[i])) & set(keys(y[i])):
-                    times[i] += bool(V._met((k << 3) | t, x[i:i + 1], y[i:i + 1], parts)[0])
+    x = [rng.integers(0, 2**63, 120, dtype=np.int64).view(np.uint64) for _ in range(words)]
+    for flips in range(0, 18):
+        y = [c.copy() for c in x]
+        for i in range(len(x[0])):
+            for b in rng.choice(6 * size, flips, replace=False):
+                y[b // 64][i] ^= np.uint64(1) << np.uint64(b % 64)
+        times = np.zeros(len(x[0]), dtype=int)
+        for i, (kx, ky) in enumerate(zip(V._keys(x, 6, size), V._keys(y, 6, size))):
+            for k in set(kx.tolist()) & set(ky.tolist()):
+                times[i] += bool(V._met(np.array([k]), [c[i:i + 1] for c in x], [c[i:i + 1] for c in y], size)[0])
         assert (times == 1).all(), flips
 
 
-@pytest.mark.parametrize("total", [0, 1_500, 12_000, 120_000, 1_200_000, 10**9])
-def test_radius_is_certain_at_every_size(total):
-    assert 3 * V.table_count(total) - 1 >= V.RADIUS
-    assert 3 * V.table_count(total, 20) - 1 >= 20
-    with pytest.raises(ValueError):
-        V.table_count(total, 24)
+@pytest.mark.parametrize("total", [1, 1_500, 12_000, 120_000, 1_200_000, 10**8])
+def test_reach_and_buckets_at_every_size(total):
+    size = V.substring_length(total)
+    assert 3 * V.TABLES - 1 >= 17
+    # a bucket of spread codes holds about as many at every size
+    assert total * (size + 1) / 2**size < 30 * 2**V.SHARED
+
+
+def test_more_tables_where_the_sample_asks_for_them():
+    rng = np.random.default_rng(3)
+    q = rng.standard_normal((300, 64))
+    turns = [V.rotation(q, 7 + i, 3)[1] for i in range(V.words_of(V.MOST, 14))]
+    near = {s: q + s * rng.standard_normal(q.shape) for s in (0.1, 0.6)}
+    few, share = V.table_count(q, near[0.1], q.mean(axis=0), turns, 14)
+    many, less = V.table_count(q, near[0.6], q.mean(axis=0), turns, 14)
+    assert few == V.TABLES and share >= V.TARGET and many > few
+
+
+def test_crowded_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    ids, m = clustered(300, 4)
+    dense = (m[0] + 0.02 * rng.standard_normal((300, 64))).astype(np.float32)
+    ids, m = [*ids, *(f"x{i:04d}" for i in range(300))], np.concatenate([m, dense])
+    report = {}
+    near = V.similar_vectors(frame(spark, ids, m), hot=100, report=report).select("id", "other").collect()
+    want = exact(ids, m.astype(np.float64))
+    got = {tuple(sorted(r)) for r in near}
+    assert report["hot"] > 0 and len(near) == 3000 and len(got & want) / len(want) >= 0.97
+
+
+def test_report(spark):
+    ids, m = clustered(400, 6)
+    report = {}
+    V.neighbour_pairs(frame(spark, ids, m), report=report).count()
+    assert report["vectors"] == 400 and report["share"] >= V.TARGET and report["compared"] == 0
