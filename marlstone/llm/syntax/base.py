@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Callable
+from functools import wraps
 from typing import NamedTuple
 
 #: Line shapes and tokens remembered per language in one process; beyond it the memory starts anew.
 REMEMBER = 100_000
-#: Nesting beyond which a text counts as not parsable rather than ending the process.
-DEPTH = 150
+#: Blocks and brackets within one another beyond which a text is given up, with the cause "nesting".
+DEPTH = 5_000
+#: Calls that such a text needs at most; calls between Python functions take no room on the C stack.
+CALLS = 200_000
+
+
+def deep(f: Callable) -> Callable:
+    """``f`` with room for deeply nested texts."""
+
+    @wraps(f)
+    def call(*args):
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, CALLS))
+        try:
+            return f(*args)
+        finally:
+            sys.setrecursionlimit(before)
+
+    return call
 
 
 class Problem(NamedTuple):
@@ -23,6 +43,8 @@ class Wrong(Exception):
 
 
 CONFLICT = r"(?<![^\n])(?:<{7}|={7}|>{7}|\|{7})(?![<=>|])[^\n]*"
+#: Numbers of languages without ranges, where a dot belongs to the digits before it.
+DOTTED = r"(?:0[xX][\w.]*[pP][+-]?\w+|0[xXbBoO]\w*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?\w*)"
 NUMBER = r"(?:0[xXbBoO][\w]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d[\d_]*)?\w*|\.\d[\d_]*(?:[eE][+-]?\d+)?\w*)"
 NAME = r"[^\W\d][\w$]*"
 
@@ -30,9 +52,10 @@ NAME = r"[^\W\d][\w$]*"
 class Canon(dict):
     """Token to its class, computed once per token."""
 
-    def __init__(self, keywords: frozenset[str], quotes: str, comments: tuple[str, ...]) -> None:
+    def __init__(self, keywords: frozenset[str], quotes: str, comments: tuple[str, ...], number: str = "") -> None:
         super().__init__()
         self.keywords, self.quotes, self.comments = keywords, quotes, comments
+        self.number = re.compile(number) if number else None
 
     def __missing__(self, tok: str) -> str:
         if len(self) > REMEMBER:
@@ -51,7 +74,7 @@ class Canon(dict):
                 return "s" if tok[-1] in self.quotes else "E"
             return tok if tok in self.keywords else "a"
         if ch.isdigit() or ch == "." and len(tok) > 1 and tok[1].isdigit():
-            return "0"
+            return "0" if self.number is None or self.number.fullmatch(tok) else "X"
         if ch in self.quotes:
             return "s" if len(tok) > 1 and tok[-1] == ch else "E"
         if len(tok) >= 7 and ch in "<=>|" and tok[:7] == ch * 7:
@@ -133,6 +156,8 @@ class Parser:
             return Wrong("conflict marker", "merge conflict")
         if t == "E":
             return Wrong("string without end", "unterminated string")
+        if t == "X":
+            return Wrong("malformed literal", "bad literal")
         return Wrong(f"unexpected {t!r}" + (f", expected {wanted}" if wanted else ""))
 
     def need(self, tok: str) -> None:
@@ -195,7 +220,7 @@ class Parser:
                     self.seek(i)
             if self.t == end or self.t == "":
                 break
-            at, first = self.i, self.j == 0
+            at, first, seen = self.i, self.j == 0, len(self.found)
             try:
                 if first and (kind := heads.get(lines[at])):
                     self.seek(at + 1)
@@ -203,7 +228,7 @@ class Parser:
                 else:
                     self.opened = -1
                     kind = self.statement(ctx)
-                    if first and self.j == 0 and self.i > at and kind == "closed" and not any(lines[at + 1:self.i]):
+                    if first and self.j == 0 and self.i > at and kind == "closed" and len(self.found) == seen and not any(lines[at + 1:self.i]):
                         simple.add(lines[at])
             except Wrong as w:
                 self.problem(min(self.i, n - 1) if self.t else n - 1, w)
@@ -232,6 +257,7 @@ class Parser:
             self.adv()
             self.statements("top", "")
 
+    @deep
     def run(self) -> list[Problem]:
         try:
             self.program()

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from marlstone.llm.syntax.base import CONFLICT, NAME, NUMBER, Canon, Parser, Wrong, tokens
+from marlstone.llm.syntax.base import CONFLICT, DEPTH, NAME, DOTTED, Canon, Parser, Wrong, tokens
 
 # Keywords.
 KEYWORDS = frozenset("""break case chan const continue default defer else fallthrough for func go goto if import interface map package range return
 select struct switch type var""".split())
 _OPS = r"&\^=|<<=|>>=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^"
-TOKEN = tokens(CONFLICT, r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/)?", r"`[^`]*`?", r"\"(?:[^\"\\\n]|\\[^\n])*\"?", r"'(?:[^'\\\n]|\\[^\n])+'?", NUMBER, NAME, _OPS)
+TOKEN = tokens(CONFLICT, r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/)?", r"`[^`]*`?", r"\"(?:[^\"\\\n]|\\[^\n])*\"?", r"'(?:[^'\\\n]|\\[^\n])+'?", DOTTED, NAME, _OPS)
 BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, "<=": 3, ">": 3, ">=": 3, "+": 4, "-": 4, "|": 4, "^": 4, "*": 5, "/": 5, "%": 5, "<<": 5, ">>": 5, "&": 5, "&^": 5}
 ASSIGN = frozenset("= := += -= *= /= %= &= |= ^= <<= >>= &^=".split())
+EXACT = (r"0[bB](?:_?[01])+i?|0[oO](?:_?[0-7])+i?|0[xX](?:_?[0-9a-fA-F])+i?|0[xX](?:(?:_?[0-9a-fA-F])+\.?(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?|\.[0-9a-fA-F]+)[pP][+-]?\d(?:_?\d)*i?"
+         r"|0(?:_?[0-7])*|[1-9](?:_?\d)*|\d(?:_?\d)*i|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*|\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?)i?")
 TYPE_START = frozenset("a * [ ( func map chan struct interface <-".split())
 
 
@@ -25,7 +27,7 @@ class GoParser(Parser):
     """A line end after an operand ends the statement, so nothing is read on over it."""
 
     token = TOKEN
-    canon = GoCanon(KEYWORDS, "\"'`", ("//", "/*"))
+    canon = GoCanon(KEYWORDS, "\"'`", ("//", "/*"), EXACT)
     simple = {"top": set(), "block": set()}
     heads = {"top": {}, "block": {}}
     sync = frozenset("func type var const import if for return switch select defer go".split())
@@ -278,6 +280,8 @@ class GoParser(Parser):
                 self.name()
             if self.t != "=" and not self.nl and self.t not in (")", ";"):
                 self.type()
+            elif kind == "var" and (self.t != "=" or self.nl):
+                raise self.wrong("a type")
             if self.t == "=" and not self.nl:
                 self.adv()
                 self.exprs()
@@ -339,7 +343,7 @@ class GoParser(Parser):
     # types
     def type(self) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         t = self.t
         if t == "a":
@@ -437,7 +441,7 @@ class GoParser(Parser):
 
     def expr(self) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         self.binary(1)
         self.depth -= 1

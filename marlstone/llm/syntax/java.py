@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm.syntax.base import CONFLICT, NAME, NUMBER, Canon, Parser, Wrong, tokens
+from marlstone.llm.syntax.base import CONFLICT, DEPTH, NAME, DOTTED, Canon, Parser, Wrong, tokens
 
 # Reserved words.
 KEYWORDS = frozenset("""abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally
@@ -11,12 +11,16 @@ switch synchronized this throw throws transient try void volatile while true fal
 PRIMITIVE = frozenset("boolean byte char short int long float double".split())
 MODIFIERS = frozenset("public private protected static final abstract native synchronized transient volatile strictfp default".split())
 _OPS = r">>>=|<<=|>>=|>>>|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<|>>"
-TOKEN = tokens(CONFLICT, r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/)?", r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*(?:\"\"\")?", r"\"(?:[^\"\\\n]|\\[^\n])*\"?", r"'(?:[^'\\\n]|\\[^\n])+'?", NUMBER, rf"(?:{NAME}|\$[\w$]*)", _OPS)
+TOKEN = tokens(CONFLICT, r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/)?", r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*(?:\"\"\")?", r"\"(?:[^\"\\\n]|\\[^\n])*\"?", r"'(?:[^'\\\n]|\\[^\n])+'?", DOTTED, rf"(?:{NAME}|\$[\w$]*)", _OPS)
 BINARY = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "instanceof": 7, "<<": 8, ">>": 8, ">>>": 8,
           "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
 ASSIGN = frozenset("= += -= *= /= &= |= ^= %= <<= >>= >>>=".split())
 
 
+EXACT = (r"0[xX][0-9a-fA-F](?:_*[0-9a-fA-F])*[lL]?|0[bB][01](?:_*[01])*[lL]?|0(?:_*[0-7])*[lL]?|[1-9](?:_*\d)*[lL]?|\d(?:_*\d)*[fFdD]"
+         r"|(?:\d(?:_*\d)*\.(?:\d(?:_*\d)*)?|\.\d(?:_*\d)*)(?:[eE][+-]?\d(?:_*\d)*)?[fFdD]?|\d(?:_*\d)*[eE][+-]?\d(?:_*\d)*[fFdD]?|0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+[fFdD]?")
+
+
 class JavaCanon(Canon):
     def classify(self, tok: str) -> str:
         if tok.startswith('"""'):
@@ -28,7 +32,7 @@ class JavaCanon(Canon):
 
 class JavaParser(Parser):
     token = TOKEN
-    canon = JavaCanon(KEYWORDS, "\"'", ("//", "/*"))
+    canon = JavaCanon(KEYWORDS, "\"'", ("//", "/*"), EXACT)
     simple = {"top": set(), "class": set(), "block": set()}
     heads = {"top": {}, "class": {}, "block": {}}
     sync = frozenset("public private protected static class interface enum if for while return try switch import".split())
@@ -248,8 +252,15 @@ class JavaParser(Parser):
         self.name()
         while self.accept("."):
             self.name()
-        if self.t == "(":
-            self.balanced()
+        if self.accept("("):
+            while self.t != ")":
+                if self.t == "a" and self.peek() == "=":
+                    self.adv()
+                    self.adv()
+                self.element_value()
+                if not self.accept(",") or self.t == ")":
+                    break
+            self.need(")")
 
     def modifiers(self) -> None:
         while True:
@@ -402,8 +413,12 @@ class JavaParser(Parser):
     def element_value(self) -> None:
         if self.t == "@":
             self.annotation()
-        elif self.t == "{":
-            self.balanced()
+        elif self.accept("{"):
+            while self.t != "}":
+                self.element_value()
+                if not self.accept(","):
+                    break
+            self.need("}")
         else:
             self.expr()
 
@@ -555,7 +570,7 @@ class JavaParser(Parser):
 
     def expr(self) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         if (self.t == "a" and self.peek() == "->") or self.t == "(" and self.lambda_here():
             if self.t == "a":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm.syntax.base import CONFLICT, NAME, NUMBER, Canon, Parser, Wrong, tokens
+from marlstone.llm.syntax.base import CONFLICT, DEPTH, NAME, NUMBER, Canon, Parser, Wrong, tokens
 
 # Keywords.
 KEYWORDS = frozenset("""as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub
@@ -19,6 +19,11 @@ STARTS = frozenset("a 0 s L ( [ { & && * - ! | || self Self crate super :: < if
 ITEMS = frozenset("fn struct enum trait impl mod use const static type extern pub unsafe async #".split())
 
 
+_INT = r"(?:_*(?:[ui](?:8|16|32|64|128|size)))?_*"
+EXACT = (rf"0x_*[0-9a-fA-F][0-9a-fA-F_]*?{_INT}|0o_*[0-7][0-7_]*?{_INT}|0b_*[01][01_]*?{_INT}|\d[\d_]*?{_INT}|\d[\d_]*?_*f(?:32|64)|\d[\d_]*\."
+         r"|\d[\d_]*\.\d[\d_]*(?:f(?:32|64))?|\d[\d_]*(?:\.\d[\d_]*)?[eE][+-]?_*\d[\d_]*(?:f(?:32|64))?")
+
+
 class RustCanon(Canon):
     def classify(self, tok: str) -> str:
         ch = tok[0]
@@ -38,7 +43,7 @@ class RustCanon(Canon):
 
 class RustParser(Parser):
     token = TOKEN
-    canon = RustCanon(KEYWORDS, '"', ("//", "/*"))
+    canon = RustCanon(KEYWORDS, '"', ("//", "/*"), EXACT)
     simple = {"top": set(), "block": set(), "impl": set(), "trait": set()}
     heads = {"top": {}, "block": {}, "impl": {}, "trait": {}}
     sync = frozenset("fn struct enum trait impl mod use pub let if for while loop match return".split())
@@ -566,7 +571,7 @@ class RustParser(Parser):
 
     def type(self, sums: bool = True) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         t = self.t
         if t in ("&", "&&"):
@@ -727,7 +732,7 @@ class RustParser(Parser):
     # expressions
     def expr(self, struct: bool = True) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         self.last_braced = False
         if self.t in ("..", "..="):
@@ -818,7 +823,7 @@ class RustParser(Parser):
 
     def primary(self, struct: bool, post: bool = True) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         t = self.t
         braced = False

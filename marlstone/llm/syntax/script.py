@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from marlstone.llm.syntax.base import CONFLICT, NUMBER, Canon, Parser, Problem, Wrong, tokens
+from marlstone.llm.syntax.base import CONFLICT, DEPTH, DOTTED, Canon, Parser, Problem, Wrong, tokens
 
 # Reserved words.
 KEYWORDS = frozenset("""await break case catch class const continue debugger default delete do else enum export extends false finally for function
@@ -16,7 +16,7 @@ _BEFORE = "".join(f"(?<=[(,=:\\[!&|?{{}};+\\-*%<>~^\\n]{' ' * k})|" for k in ran
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`)*\})*`?"
 _OPS = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
 TOKEN = tokens(CONFLICT, r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*(?:\*/)?", f"(?:{_BEFORE}){_REGEX}", rf"\n[ \t]*(?!/=){_REGEX}(?=[.,;)\s])", _TEMPLATE, r"\"(?:[^\"\\\n]|\\\r?\n|\\[^\n])*\"?", r"'(?:[^'\\\n]|\\\r?\n|\\[^\n])*'?",
-               NUMBER, r"#?(?:[^\W\d]|\$|\\u\{?[0-9a-fA-F]+\}?)(?:[\w$]|\\u\{?[0-9a-fA-F]+\}?)*", _OPS, r"^#![^\n]*")
+               DOTTED, r"#?(?:[^\W\d]|\$|\\u\{?[0-9a-fA-F]+\}?)(?:[\w$]|\\u\{?[0-9a-fA-F]+\}?)*", _OPS, r"^#![^\n]*")
 BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8,
           "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 13}
 ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
@@ -26,6 +26,10 @@ WORDS = KEYWORDS | NAMES
 MODIFIERS = frozenset("public private protected static readonly abstract override declare async accessor".split())
 
 
+EXACT = (r"0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|0[0-7]+|0\d*[89]\d*(?:\.\d*)?(?:[eE][+-]?\d+)?|(?:0|[1-9](?:_?\d)*)n"
+         r"|(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?(?:[eE][+-]?\d(?:_?\d)*)?|\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?")
+
+
 class ScriptCanon(Canon):
     def classify(self, tok: str) -> str:
         ch = tok[0]
@@ -40,7 +44,7 @@ class ScriptCanon(Canon):
         if tok.startswith("/*") and (not tok.endswith("*/") or len(tok) < 4):
             return "E"
         if ch == "`" and len(tok) > 1 and tok[-1] == "`":
-            return "s"
+            return "s" if "${" not in tok or templates_parse(tok) else "X"
         return super().classify(tok)
 
 
@@ -53,11 +57,54 @@ def flat_templates(text: str) -> str:
     for m in _BITS.finditer(text):
         if m[0] == "`" and m.start() >= at:
             end = _template_end(text, m.start())
-            out += [text[at:m.start()], "`", "\n" * text.count("\n", m.start(), end), "`"]
+            good = text[end - 1] == "`" and end > m.start() + 1 and templates_parse(text[m.start():end])
+            out += [text[at:m.start()], "`", "\n" * text.count("\n", m.start(), end), "`" if good else "` \\ "]
             at = end
     return "".join([*out, text[at:]])
 
 
+def templates_parse(tok: str) -> bool:
+    """Do the expressions of a whole template parse?"""
+    i, n = 1, len(tok) - 1
+    while i < n:
+        if tok[i] == "\\":
+            i += 2
+        elif tok.startswith("${", i):
+            end = _hole_end(tok, i + 2)
+            if end > n or not expression_parses(tok[i + 2:end - 1]):
+                return False
+            i = end
+        else:
+            i += 1
+    return True
+
+
+def expression_parses(text: str) -> bool:
+    p = TypeScriptParser(text)
+    try:
+        p.comma()
+    except Wrong:
+        return "${" in text and (flat := flat_templates(text)) != text and expression_parses(flat)
+    return p.t == ""
+
+
+def _hole_end(text: str, i: int) -> int:
+    """Behind the brace that ends the expression which begins at ``i``; beyond the text if none does."""
+    depth, n = 1, len(text)
+    while i < n:
+        m = _BITS.search(text, i)
+        if not m:
+            break
+        i = m.end()
+        if m[0] == "`":
+            i = _template_end(text, m.start())
+        elif m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                return i
+    return n + 1
+
+
 def _template_end(text: str, start: int) -> int:
     i, n = start + 1, len(text)
     while i < n:
@@ -67,16 +114,7 @@ def _template_end(text: str, start: int) -> int:
         elif ch == "`":
             return i + 1
         elif text.startswith("${", i):
-            depth, i = 1, i + 2
-            while i < n and depth:
-                m = _BITS.search(text, i)
-                if not m:
-                    return n
-                i = m.end()
-                if m[0] == "`":
-                    i = _template_end(text, m.start())
-                elif m[0] in "{}":
-                    depth += 1 if m[0] == "{" else -1
+            i = min(_hole_end(text, i + 2), n)
         else:
             i += 1
     return n
@@ -84,7 +122,7 @@ def _template_end(text: str, start: int) -> int:
 
 class JavaScriptParser(Parser):
     token = TOKEN
-    canon = ScriptCanon(KEYWORDS | SOFT, "\"'`", ("//", "/*"))
+    canon = ScriptCanon(KEYWORDS | SOFT, "\"'`", ("//", "/*"), EXACT)
     simple = {"top": set(), "block": set(), "class": set()}
     heads = {"top": {}, "block": {}, "class": {}}
     sync = frozenset("const let var function class if for while return import export switch try throw".split())
@@ -167,9 +205,13 @@ class JavaScriptParser(Parser):
             p = self.peek()
             if t in ("const", "var") or p in NAMES or p in ("[", "{"):
                 if not (t == "const" and p == "enum"):
+                    if p == "let" and t != "var":
+                        raise Wrong("let is no name here")
                     self.adv()
-                    self.declarators(False)
-                    return self.semicolon()
+                    self.declarators(False, t == "const")
+                    kind = self.semicolon()
+                    # elsewhere the same line may lack its value
+                    return "open" if self.ambient else kind
         if t == "await" and self.peek() == "using" and self.peek(2) in NAMES:
             self.adv()
             self.adv()
@@ -300,7 +342,10 @@ class JavaScriptParser(Parser):
     def type_params(self) -> None:
         pass
 
-    def declarators(self, loop: bool) -> None:
+    #: In a declaration without values, as behind declare.
+    ambient = False
+
+    def declarators(self, loop: bool, const: bool = False) -> None:
         while True:
             pattern = self.t in ("[", "{")
             self.binding()
@@ -309,7 +354,7 @@ class JavaScriptParser(Parser):
                 self.annotation()
             if self.accept("="):
                 self.assign()
-            elif pattern and not loop and not self.types:
+            elif (pattern and not self.types or const and not self.ambient) and not loop:
                 raise self.wrong("'='")
             if not self.accept(","):
                 return
@@ -463,7 +508,10 @@ class JavaScriptParser(Parser):
             self.adv()
         self.accept("*")
         if self.types and self.t == "[" and self.peek() in NAMES and self.peek(2) == ":":
-            self.balanced()
+            self.adv()
+            self.adv()
+            self.annotation()
+            self.need("]")
             self.annotation()
             return self.semicolon()
         self.property_name()
@@ -502,7 +550,16 @@ class JavaScriptParser(Parser):
             self.adv()
         if (self.t == "with" or self.t == "a") and self.peek() == "{" and not self.nl:
             self.adv()
-            self.balanced()
+            self.need("{")
+            while self.t != "}":
+                self.property_name()
+                self.need(":")
+                if self.t != "s":
+                    raise self.wrong("a string")
+                self.adv()
+                if not self.accept(","):
+                    break
+            self.need("}")
         return self.semicolon()
 
     def specifiers(self) -> None:
@@ -600,7 +657,7 @@ class JavaScriptParser(Parser):
 
     def assign(self) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         t = self.t
         if t == "async" and self.peek() in NAMES and self.peek(2) == "=>":
@@ -609,7 +666,7 @@ class JavaScriptParser(Parser):
         if t in NAMES and self.peek() == "=>":
             self.adv()
             self.arrow_body()
-        elif (t == "(" or t == "async" and self.peek() == "(" or self.types and t == "<") and self.arrow():
+        elif (t == "(" or t == "async" and (self.peek() == "(" or self.types and self.peek() == "<") or self.types and t == "<") and self.arrow():
             pass
         elif t == "yield":
             self.adv()
@@ -943,7 +1000,11 @@ class TypeScriptParser(JavaScriptParser):
                 self.adv()
                 self.module_body(ctx, at, first)
                 return "closed"
-            return self.statement(ctx)
+            ambient, self.ambient = self.ambient, True
+            try:
+                return self.statement(ctx)
+            finally:
+                self.ambient = ambient
         if t in ("namespace", "module") and (p in NAMES or p == "s"):
             self.adv()
             self.adv()
@@ -1025,7 +1086,7 @@ class TypeScriptParser(JavaScriptParser):
 
     def type(self) -> None:
         self.depth += 1
-        if self.depth > 150:
+        if self.depth > DEPTH:
             raise Wrong("nesting too deep", "nesting")
         if self.t == "<" or self.t == "(" and self.function_type() or self.t == "new" or self.t == "abstract" and self.peek() == "new":
             self.accept("abstract")
