@@ -1,16 +1,17 @@
 """Natural language in the comments and string literals of code.
 
 Comments and literals are taken out by a scanner of the code's real language. Each is cut
-into words. A dynamic program labels the words with languages: every word has a score in
-every language, a change of language costs a penalty, and the labelling of least cost
-is the segmentation, so a stray name inside a sentence doesn't break it. Code words
+into words, or for Chinese and Japanese, written without spaces, into clauses. A dynamic program labels them with
+languages: every word or clause has a score in every language of its script, a change of language costs a penalty, and the
+labelling of least cost is the segmentation, so a stray name inside a sentence doesn't break it, and a clause of Chinese
+characters alone is Japanese in Japanese surroundings. Code words
 (names with signs or digits, paths, calls) are set aside first; two in a row end a run of text.
-Segment bytes are summed by file and language. However short, every comment and literal counts; a lone word
-counts where it is the whole of one, as beside code or other scripts it is a stray name.
+Segment bytes, with what stands between the words of a segment, are summed by file and language. However short, every comment
+and literal counts; a lone word counts where it is the whole of one, as beside code or other scripts it is a stray name.
 
-Scores are those of a character-trigram model with a word list, trained on a bounded sample of
-labelled texts, together with a gibberish model that stands for "no language". Chinese and Japanese,
-written without spaces, are told apart clause by clause by their scripts.
+Scores of words are those of a character-trigram model with a word list, by language; scores of clauses those of characters and
+their pairs. All are trained on bounded samples of labelled texts, together with a gibberish model that stands for "no language".
+Text in another language of the Cyrillic script, told by its letters, or in another script is "other".
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LATIN = ("en", "de", "fr", "es")
-LANGUAGES = (*LATIN, "ru", "zh", "ja")
-#: Labelled texts the scores are trained on, at most.
+SPACED, EASTERN = (*LATIN, "ru"), ("zh", "ja")
+LANGUAGES = (*SPACED, *EASTERN)
+#: Labelled texts the scores are trained on, at most: of the Latin script, and of all others.
 SAMPLE = 3_000
 #: Words of that sample that reach the model, at most.
 WORDS = 200_000
@@ -35,6 +37,10 @@ WORDS = 200_000
 SWITCH = 16.0
 #: Nats a letter of a word costs in no language at all.
 GIBBERISH = 5.0
+#: Nats that a Cyrillic word costs more in Russian for a letter Russian hasn't, and in another language for none.
+FOREIGN, NATIVE = 12.0, 2.0
+#: Nats of a character that was never met in Chinese or Japanese, of kana in Chinese, and of a Japanese clause without kana.
+UNSEEN, KANA_IN_CHINESE, NO_KANA = 11.0, 16.0, 8.0
 MIN_WORDS, MIN_CHARS = 6, 12
 REMEMBER = 100_000
 
@@ -51,9 +57,14 @@ ACCENTED = {"en": "", "de": "äöüß", "fr": "àâæçèéêëîïôœùûüÿ"
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 EAST = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ]")
+EAST_RUN = re.compile("[぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ]+")
 KANA = re.compile("[぀-ヿｦ-ﾝ]")
 CLAUSE = re.compile("[^。！？!?\n]+[。！？!?\n]*")
 CYRILLIC = re.compile("[Ѐ-ӿ]")
+NOT_RUSSIAN = re.compile("[^Ѐ-ӿ]|[^а-яёА-ЯЁ]")
+OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0530-\u109f\u10a0-\u13ff\u1780-\u17ff\u1c80-\u1cff\uac00-\ud7af]")
+# vowel signs belong to the words of the Indic and Thai scripts
+OTHER_WORD = re.compile("[\u0370-\u03ff\u0530-\u109f\u10a0-\u13ff\u1780-\u17ff\u1c80-\u1cff\uac00-\ud7af]+")
 CODE = re.compile(r"[_\\=<>{}@$%^&~|]|::|->|\w[./:]\w|/\w|\w\(|\w\[|[a-zà-ÿ][A-Z]|\d|^[A-Z]{2,}-[A-Z]{2,}(?:-\w+)*:?$")
 # tags of editors, which are no words
 MARKERS = re.compile(r"\b(?:TODO|FIXME|XXX)\b")
@@ -89,44 +100,78 @@ def family(extension: str, text: str) -> str | None:
 
 
 class Scores(dict):
-    """Costs of a word in each Latin language and in none, by trigrams and word lists."""
+    """Costs of a word in each language of its script and in none, by trigrams and word lists: for the Latin script those of
+    ``LATIN`` and none, for the Cyrillic one Russian, another language and none."""
 
     def __init__(self, model: dict) -> None:
         super().__init__()
-        self.words, self.grams, self.totals = model["words"], model["grams"], model["totals"]
+        self.words, self.grams, self.totals, self.signs = model["words"], model["grams"], model["totals"], model["signs"]
+
+    def cost(self, word: str, lang: str) -> float:
+        w = f"^{word}$"
+        grams, (n_words, _) = self.grams[lang], self.totals[lang]
+        p = 0.0
+        for i in range(len(w) - 2):
+            tri = w[i:i + 3]
+            p += math.log((grams.get(tri, 0) + 0.05) / (grams.get(tri[:2], 0) + 0.05 * 60))
+        listed = self.words[lang].get(word, 0) / n_words if n_words else 0.0
+        return -math.log(0.5 * listed + 0.5 * math.exp(max(p, -300.0)) + 1e-130)
 
     def __missing__(self, word: str) -> tuple[float, ...]:
         if len(self) > REMEMBER:
             self.clear()
-        w = f"^{word}$"
+        none = GIBBERISH * (len(word) + 1)
+        if CYRILLIC.search(word):
+            foreign = NOT_RUSSIAN.search(word) is not None
+            c = min(self.cost(word, "ru"), none - 1.0)
+            v = self[word] = (c + FOREIGN * foreign, c + NATIVE * (not foreign), none + FOREIGN)
+            return v
         out = []
         for lang in LATIN:
-            grams, (n_words, n_grams) = self.grams[lang], self.totals[lang]
-            p = 0.0
-            for i in range(len(w) - 2):
-                tri = w[i:i + 3]
-                p += math.log((grams.get(tri, 0) + 0.05) / (grams.get(tri[:2], 0) + 0.05 * 60))
-            listed = self.words[lang].get(word, 0) / n_words
             strange = sum(x > "\x7f" and x.isalpha() and x not in ACCENTED[lang] for x in word)
-            out.append(GIBBERISH * strange - math.log(0.5 * listed + 0.5 * math.exp(max(p, -300.0)) + 1e-130))
-        out.append(GIBBERISH * (len(word) + 1))
+            out.append(GIBBERISH * strange + self.cost(word, lang))
+        out.append(none)
         v = self[word] = tuple(out)
         return v
 
+    def clause(self, letters: str) -> tuple[float, float]:
+        """Costs of a clause in Chinese and in Japanese."""
+        out = []
+        for lang in EASTERN:
+            one, two, total = self.signs[lang]
+            c = 0.0
+            for i, ch in enumerate(letters):
+                if lang == "zh" and KANA.match(ch):
+                    c += KANA_IN_CHINESE
+                    continue
+                n = one.get(ch, 0)
+                p = n / total if total else 0.0
+                if i and (m := one.get(letters[i - 1], 0)):
+                    p = 0.5 * p + 0.5 * two.get(letters[i - 1:i + 1], 0) / m
+                c += min(UNSEEN, -math.log(p + 1e-9)) if total else 6.0
+            out.append(c)
+        return out[0], out[1] + NO_KANA * (not KANA.search(letters))
+
 
 def counted(rows: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
-    """(language, word, count) of (language, text) pairs."""
+    """(language, word or pair of characters, count) of (language, text) pairs."""
     c: Counter = Counter()
     for lang, text in rows:
-        c.update((lang, w) for w in WORD.findall(text.lower()))
+        if lang in EASTERN:
+            c.update((lang, run[i:i + 2]) for run in EAST_RUN.findall(text) for i in range(len(run) - 1))
+        else:
+            c.update((lang, w) for w in WORD.findall(text.lower()))
     return [(lang, w, n) for (lang, w), n in c.items()]
 
 
 def train(counts: list[tuple[str, str, int]]) -> dict:
-    """The model of (language, word, count) rows."""
-    words: dict[str, Counter] = {k: Counter() for k in LATIN}
+    """The model of (language, word or pair of characters, count) rows."""
+    words: dict[str, Counter] = {k: Counter() for k in SPACED}
+    pairs: dict[str, Counter] = {k: Counter() for k in EASTERN}
     for lang, w, n in counts:
-        if lang in words and not CYRILLIC.search(w) and not EAST.search(w):
+        if lang in pairs:
+            pairs[lang][w] += n
+        elif lang in words and not EAST.search(w) and bool(CYRILLIC.search(w)) == (lang == "ru"):
             words[lang][w] += n
     for lang in LATIN:
         # a word mostly met under another label is noise of the labels
@@ -134,14 +179,23 @@ def train(counts: list[tuple[str, str, int]]) -> dict:
         for w in SMALL[lang].split():
             words[lang][w] += 20
     grams: dict[str, Counter] = {}
-    for lang in LATIN:
+    for lang in SPACED:
         g = grams[lang] = Counter()
         for w, c in words[lang].items():
             x, c = f"^{w}$", 1 + math.log(c)
             for i in range(len(x) - 2):
                 g[x[i:i + 3]] += c
                 g[x[i:i + 2]] += c
-    return {"words": {k: dict(v) for k, v in words.items()}, "grams": {k: dict(v) for k, v in grams.items()}, "totals": {k: (sum(words[k].values()), sum(grams[k].values())) for k in LATIN}}
+    signs = {}
+    for lang, two in pairs.items():
+        one: Counter = Counter()
+        for w, c in two.items():
+            # kana under a Chinese label are wrong labels
+            if lang == "ja" or not KANA.search(w):
+                one[w[0]] += c
+        signs[lang] = (dict(one), dict(two), sum(one.values()))
+    return {"words": {k: dict(v) for k, v in words.items()}, "grams": {k: dict(v) for k, v in grams.items()}, "totals": {k: (sum(words[k].values()), sum(grams[k].values())) for k in SPACED},
+            "signs": signs}
 
 
 def best_labels(costs: list[tuple[float, ...]], switch: float = SWITCH) -> list[int]:
@@ -165,56 +219,84 @@ def best_labels(costs: list[tuple[float, ...]], switch: float = SWITCH) -> list[
     return out[::-1]
 
 
+def _size(s: str) -> int:
+    """Bytes of a piece of text, white space between words counting one."""
+    s = " ".join(s.split())
+    return len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass"))
+
+
+def _gap(s: str) -> int:
+    """Bytes of what stands between two words."""
+    return 1 if s.isspace() else _size(s) + (s[:1].isspace() + s[-1:].isspace() if s else 0)
+
+
+CHUNK = re.compile(r"\S+")
+
+
 def spans(text: str, scores: Scores) -> list[tuple[str, int, int]]:
     """(language, units, bytes) of the runs of text in one comment or literal; units are words, or letters in zh and ja."""
     out: list[tuple[str, int, int]] = []
     if EAST.search(text):
-        last = ""
-        for m in CLAUSE.finditer(text):
-            letters = EAST.findall(m[0])
-            if not letters:
-                continue
-            lang = "ja" if KANA.search(m[0]) else "zh"
-            size = sum(len(x.encode()) for x in letters)
-            if lang == last:
-                out[-1] = (lang, out[-1][1] + len(letters), out[-1][2] + size)
+        clauses = [(m[0], letters) for m in CLAUSE.finditer(text) if (letters := "".join(EAST.findall(m[0])))]
+        last = -1
+        for (whole, letters), label in zip(clauses, best_labels([scores.clause(x) for _, x in clauses])):
+            size = len("".join(x for x in whole if x > "\x7f").encode("utf-8", "surrogatepass"))
+            if label == last:
+                out[-1] = (out[-1][0], out[-1][1] + len(letters), out[-1][2] + size)
             else:
-                out.append((lang, len(letters), size))
-            last = lang
+                out.append((EASTERN[label], len(letters), size))
+            last = label
+    if OTHER_SCRIPT.search(text):
+        found = OTHER_WORD.findall(text)
+        out.append(("other", len(found), sum(len(w.encode()) for w in found)))
+        text = OTHER_WORD.sub(" ", text)
     words: list[str] = []
     gaps: list[bool] = []
-    code, alone = 2, True
-    for chunk in text.split():
-        if CODE.search(chunk):
+    # of each word: its own bytes, and those between it and the one before, if no code is
+    sizes: list[int] = []
+    between: list[int] = []
+    code, alone, end = 2, True, -1
+    for chunk in CHUNK.finditer(text):
+        part, at = chunk[0], chunk.start()
+        if CODE.search(part):
             code += 1
             alone = False
+            end = -1
             continue
-        for w in WORD.findall(chunk):
+        for m in WORD.finditer(part):
+            w = m[0]
             if EAST.search(w):
                 code = 2
                 alone = False
+                end = -1
                 continue
             words.append(w.lower())
             gaps.append(code >= 2)
+            sizes.append(len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")))
+            between.append(_gap(text[end:at + m.start()]) if end >= 0 else 0)
+            end = at + m.end()
             code = 0
     alone = alone and len(words) == 1 and not MARKERS.search(text)
+
+    def put(lang: str, i: int, j: int) -> None:
+        out.append((lang, j - i, sum(sizes[i:j]) + sum(between[i + 1:j])))
+
     at = 0
     while at < len(words):
         end = at + 1
         cyr = bool(CYRILLIC.search(words[at]))
         while end < len(words) and not gaps[end] and bool(CYRILLIC.search(words[end])) == cyr:
             end += 1
-        if cyr:
-            out.append(("ru", end - at, sum(len(w.encode()) + 1 for w in words[at:end])))
-        elif end - at >= 2 or alone:
+        if cyr or end - at >= 2 or alone:
+            names = ("ru", "other") if cyr else LATIN
             labels = best_labels([scores[w] for w in words[at:end]])
             i = 0
             while i < len(labels):
                 j = i
                 while j < len(labels) and labels[j] == labels[i]:
                     j += 1
-                if labels[i] < len(LATIN):
-                    out.append((LATIN[labels[i]], j - i, sum(len(w.encode()) + 1 for w in words[at + i:at + j])))
+                if labels[i] < len(names):
+                    put(names[labels[i]], at + i, at + j)
                 i = j
         at = end
     return out
@@ -248,14 +330,19 @@ SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("nat_l
 
 
 def word_counts(documents: DataFrame, sample: int = SAMPLE, most: int = WORDS) -> list[tuple[str, str, int]]:
-    """(language, word, count) of the ``most`` commonest words in a bounded sample, drawn by a hash of the id, of texts
-    with a usable label. Counting is done by the executors; null labels, texts and ids take no part."""
+    """(language, word or pair of characters, count) of the ``most`` commonest in bounded samples, drawn by a hash of the id, of
+    texts with a usable label. Counting is done by the executors; null labels, texts and ids take no part."""
     lang = F.substring(F.lower("lang"), 1, 2)
-    fit = documents.filter(lang.isin(*LATIN)).select("doc_id", lang.alias("lang"), "text").filter("length(text) > 0")
-    total = fit.count()
-    part = fit.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(total, 1))))
-    words = part.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), F.lit(0))).alias("w"))
-    rows = words.groupBy("lang", "w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "lang", "w").limit(most).collect()
+    fit = documents.filter(lang.isin(*LANGUAGES)).select("doc_id", lang.alias("lang"), "text").filter("length(text) > 0")
+    latin = F.col("lang").isin(*LATIN)
+    total = fit.agg(F.count(F.when(latin, 1)).alias("a"), F.count(F.when(~latin, 1)).alias("b")).first()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    part = fit.filter(draw < F.when(latin, int(1_000_000 * min(1.0, sample / max(total[0], 1)))).otherwise(int(1_000_000 * min(1.0, sample / max(total[1], 1)))))
+    word = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), F.lit(0))
+    pair = F.regexp_extract_all("text", F.lit(f"(?=({EAST.pattern}{{2}}))"), F.lit(1))
+    words = part.select("lang", F.explode(F.when(F.col("lang").isin(*EASTERN), pair).otherwise(word)).alias("w"))
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = [r for own in (latin, ~latin) for r in counts.filter(own).orderBy(F.desc("n"), "lang", "w").limit(most).collect()]
     return [(r[0], r[1], r[2]) for r in rows]
 
 
@@ -264,7 +351,7 @@ def languages(files: DataFrame, model: dict, id_col: str = "id", path_col: str =
 
     ``share`` is of the bytes of the whole file; ``longest`` is the longest run, in words, or letters in
     zh and ja. Null ids and null or empty texts have no row, nor have files of unknown extension, web pages and
-    files without running text. A repeated id has its rows once for each row of the table.
+    files without running text. Text that is in none of the seven languages is "other". A repeated id has its rows once for each row of the table.
     """
     shared = files.sparkSession.sparkContext.broadcast(model)
 
@@ -300,6 +387,7 @@ def languages(files: DataFrame, model: dict, id_col: str = "id", path_col: str =
 
 
 def running_text(rows: DataFrame) -> DataFrame:
-    """(id, nat_lang) where one comment or literal holds six words in a row, or twelve letters of zh or ja."""
+    """(id, nat_lang) where one comment or literal holds six words in a row, or twelve letters of zh or ja, in one of the seven languages."""
+    rows = rows.filter(F.col("nat_lang").isin(*LANGUAGES))
     least = F.when(F.col("nat_lang").isin("zh", "ja"), MIN_CHARS).otherwise(MIN_WORDS)
     return rows.filter(F.col("longest") >= least).select("id", "nat_lang").distinct()

@@ -44,14 +44,14 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.code_languages import languages, train, word_counts
 
     model = train(word_counts(load(spark, sf_dir, "documents")))
-    return languages(load(spark, sf_dir, "code_documents").dropDuplicates(["id"]), model)
+    return languages(load(spark, sf_dir, "code_documents"), model).dropDuplicates(["id", "nat_lang"])
 
 
 def p5_chunk_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.code_languages import languages, train, word_counts
 
     model = train(word_counts(load(spark, sf_dir, "documents")))
-    return languages(load(spark, sf_dir, "code_chunks").dropDuplicates(["id"]), model)
+    return languages(load(spark, sf_dir, "code_chunks"), model).dropDuplicates(["id", "nat_lang"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,14 +143,36 @@ def test_language_table(spark, model):
     assert {k for k, _, _ in words} == {"de", "en"} and ("de", "die", 2) in words and ("de", "tabelle", 2) in words and L.word_counts(docs.limit(0)) == []
 
 
+def test_bytes_are_those_of_the_segment(model):
+    sc = L.Scores(model)
+    for lang in ("en", "de", "fr", "es", "ru"):
+        assert L.spans(TEXTS[lang] + ".", sc) == [(lang, len(TEXTS[lang].split()), len(TEXTS[lang].encode()))]
+    assert L.spans("the rows, of  the\n table", sc) == [("en", 5, len("the rows, of the table"))]
+    assert L.spans(TEXTS["zh"], sc) == [("zh", 18, len(TEXTS["zh"].encode()))]
+    # code between words is no part of the text
+    assert L.spans("the rows load_x() of the table", sc) == [("en", 5, len("the rows") + len("of the table"))]
+
+
+def test_languages_outside_the_seven(model):
+    sc = L.Scores(model)
+    assert {s[0] for s in L.spans("Перевіряє, чи є значення користувача дійсним", sc)} == {"other"}
+    assert {s[0] for s in L.spans("ตรวจสอบค่า", sc)} == {"other"} and {s[0] for s in L.spans("फ़ाइल पढ़ता है", sc)} == {"other"}
+
+
+def test_clauses_follow_their_surroundings(model):
+    sc = L.Scores(model)
+    assert [s[0] for s in L.spans("索引保存。" + TEXTS["ja"] + "索引保存。", sc)] == ["ja"]
+    assert [s[0] for s in L.spans(TEXTS["zh"] + TEXTS["ja"], sc)] == ["zh", "ja"]
+
+
 def test_short_texts_count(spark, model):
     sc = L.Scores(model)
-    assert [s[0] for s in L.spans("à revoir", sc)] == ["fr"] and L.spans("index", sc) == [("en", 1, 6)]
+    assert [s[0] for s in L.spans("à revoir", sc)] == ["fr"] and L.spans("index", sc) == [("en", 1, 5)]
     assert L.spans("TODO", sc) == [] and L.spans("return read_x(a) + b_c", sc) == []
     assert list(L.texts_of("py", "x = 'log-level'; y = 'rows'  # 待办\n")) == [("string", "rows"), ("comment", " 待办")]
     f = spark.createDataFrame([("a", "a.py", "x = 1  # 待办\n"), ("b", "b.go", "// see the\nx"), ("c", "c.js", "f('rows'); g('log-level')"), ("d", "d.py", "# проверить"), ("e", "e.py", "s = 'a b c d e f'  # this is the table of the index\n")], "id string, file_path string, content string")
     rows = {(r["id"], r["nat_lang"]): r["bytes"] for r in L.languages(f, model).collect()}
-    assert rows[("a", "zh")] == 6 and rows[("b", "en")] == 8 and rows[("c", "en")] == 5 and ("d", "ru") in rows
+    assert rows[("a", "zh")] == 6 and rows[("b", "en")] == 7 and rows[("c", "en")] == 4 and ("d", "ru") in rows
     assert L.running_text(L.languages(f, model)).filter("id <> 'e'").collect() == []
 
 
