@@ -2,7 +2,8 @@
 
 Statistics of BM25 (number of chunks, their mean length, document frequencies) come from the whole
 table in one aggregation that yields one row; filters then narrow the candidates before each list is
-ranked and cut. Only the counts of the query's terms leave the scan, never texts.
+ranked and cut. Only the counts of the query's terms leave the scan, never texts. With a kept index (``TextIndex``) texts
+aren't read at all, only the postings of the query's terms.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
+from marlstone.operators.text_index import TextIndex
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -73,24 +75,46 @@ def _equals(term: str):
     return lambda w: w == F.lit(term)
 
 
-def bm25(chunks: DataFrame, query: str, keep: Column | None = None, text: str = "content", key: str = "id") -> DataFrame:
+def _score(terms: int) -> Column:
+    """BM25 of the columns _f0, _f1, … (in the row), _d0, _d1, … (in all rows), _n, _total and _mean."""
+    score = F.lit(0.0)
+    for i in range(terms):
+        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
+        idf = F.log(1 + (F.col("_total") - d + 0.5) / (d + 0.5))
+        score += F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))).otherwise(0.0)
+    return F.round(score, 6).alias("score")
+
+
+def bm25_from(index: TextIndex, query: str, keep: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(id, score) from a kept index; ``keep`` has the ids that may come out."""
+    terms = query_terms(query)
+    total, mean = index.totals() if terms else (0, 0.0)
+    if not total:
+        return index.spark.createDataFrame([], f"{key} string, score double")
+    found = index.postings(terms)
+    rows = found.groupBy("id").agg(F.max("n").alias("_n"), *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("f"))), F.lit(0)).alias(f"_f{i}") for i, t in enumerate(terms)])
+    stats = rows.agg(*[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))])
+    kept = rows.join(keep.select(F.col(key).cast("string").alias("id")).distinct(), "id", "left_semi") if keep is not None else rows
+    # the statistics are a single row by construction
+    return (kept.crossJoin(F.broadcast(stats)).withColumn("_total", F.lit(total)).withColumn("_mean", F.lit(mean))
+            .select(F.col("id").alias(key), _score(len(terms))))
+
+
+def bm25(chunks: DataFrame, query: str, keep: Column | None = None, text: str = "content", key: str = "id", index: TextIndex | None = None) -> DataFrame:
     """(id, score) of the chunks that hold a term. Repeated rows of an id count once; a null text has no terms."""
     terms = query_terms(query)
     if not terms:
         return chunks.sparkSession.createDataFrame([], f"{key} string, score double")
+    if index is not None:
+        return bm25_from(index, query, chunks.filter(keep).select(key) if keep is not None else None, key)
     tf = [F.size(F.filter("_w", _equals(t))).alias(f"_f{i}") for i, t in enumerate(terms)]
     rows = (chunks.withColumn("_keep", F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True))
             .select(F.col(key).cast("string").alias(key), "_keep", C.words(F.coalesce(F.col(text), F.lit(""))).alias("_w")).select(key, "_keep", F.size("_w").alias("_n"), *tf)
             .groupBy(key).agg(F.max("_keep").alias("_keep"), F.max("_n").alias("_n"), *[F.max(f"_f{i}").alias(f"_f{i}") for i in range(len(terms))]))
     stats = rows.agg(F.count("*").alias("_total"), F.avg("_n").alias("_mean"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.log(1 + (F.col("_total") - d + 0.5) / (d + 0.5))
-        score += F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))).otherwise(0.0)
     hit = F.greatest(*[F.col(f"_f{i}") for i in range(len(terms))], F.lit(0)) > 0
     # the statistics are a single row by construction
-    return rows.filter(F.col("_keep") & hit).crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score"))
+    return rows.filter(F.col("_keep") & hit).crossJoin(F.broadcast(stats)).select(key, _score(len(terms)))
 
 
 def vector_distances(chunks: DataFrame, vector: list[float], keep: Column | None = None, column: str = "embedding", key: str = "id") -> DataFrame:
@@ -113,12 +137,18 @@ def fuse(texts: DataFrame, vectors: DataFrame, k: int = RRF_K, key: str = "id")
     return t.join(v, key, "full_outer").select(key, F.round(part("_rt") + part("_rv"), 9).alias("score"))
 
 
-def hybrid_search(chunks: DataFrame, query: str, vector: list[float], options: SearchOptions | None = None) -> DataFrame:
+def _kept(o: SearchOptions) -> Column | None:
+    """The filter of the options, if they have any."""
+    plain = SearchOptions(limit=o.limit, chunks_per_file=o.chunks_per_file, pool=o.pool, patterns=o.patterns)
+    return None if o == plain else metadata_filter(o)
+
+
+def hybrid_search(chunks: DataFrame, query: str, vector: list[float], options: SearchOptions | None = None, index: TextIndex | None = None) -> DataFrame:
     """The best chunks, one row each, with score and rank. Empty tables give no rows; a query without known
     words still gives the nearest vectors."""
     o = options or SearchOptions()
-    keep = metadata_filter(o)
-    texts = top(bm25(chunks, query, keep), F.desc("score"), o.pool)
+    keep = _kept(o)
+    texts = top(bm25(chunks, query, keep, index=index), F.desc("score"), o.pool)
     near = top(vector_distances(chunks, vector, keep), F.asc("distance"), o.pool)
     return top(fuse(texts, near), F.desc("score"), o.limit)
 
@@ -128,11 +158,11 @@ def with_chunks(found: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame
     return chunks.select("id", *columns).join(F.broadcast(found), "id").dropDuplicates(["id"])
 
 
-def grouped_search(chunks: DataFrame, query: str, vector: list[float], options: SearchOptions | None = None) -> DataFrame:
+def grouped_search(chunks: DataFrame, query: str, vector: list[float], options: SearchOptions | None = None, index: TextIndex | None = None) -> DataFrame:
     """Files by the sum of their chunks' scores, with the best chunks of each."""
     o = options or SearchOptions()
-    keep = metadata_filter(o)
-    scored = fuse(top(bm25(chunks, query, keep), F.desc("score"), o.pool), top(vector_distances(chunks, vector, keep), F.asc("distance"), o.pool))
+    keep = _kept(o)
+    scored = fuse(top(bm25(chunks, query, keep, index=index), F.desc("score"), o.pool), top(vector_distances(chunks, vector, keep), F.asc("distance"), o.pool))
     rows = with_chunks(scored, chunks, "project_id", "file_path")
     by_file = Window.partitionBy("project_id", "file_path")
     rows = (rows.withColumn("chunk_rank", F.row_number().over(by_file.orderBy(F.desc("score"), "id")).cast("long")).withColumn("file_score", F.round(F.sum("score").over(by_file), 6)))
@@ -149,6 +179,6 @@ def relevance_percent(rows: DataFrame, score: str = "score") -> DataFrame:
 def report(rows: DataFrame, title: str = "Results") -> str:
     """A Markdown page of a page of results (rank, file_path, start_line, end_line, relevance, content)."""
     out = [f"# {title}", ""]
-    for r in rows.orderBy("rank").limit(100).toLocalIterator():
+    for r in rows.orderBy("rank").toLocalIterator():
         out += [f"## {r['rank']}. {r['file_path']}:{r['start_line']}-{r['end_line']} ({r['relevance']:.1f} %)", "", "```", r["content"], "```", ""]
     return "\n".join(out)

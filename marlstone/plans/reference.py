@@ -13,6 +13,8 @@ from marlstone.operators import assembly as A
 from marlstone.operators import maintenance as M
 from marlstone.operators import performance as P
 from marlstone.operators import search as S
+from marlstone.operators.text_index import TextIndex
+from marlstone.session import scratch
 from marlstone.sources import render
 from marlstone.sources.tables import load
 
@@ -71,8 +73,26 @@ def _page(where: str, k: int) -> str:
     return f"{_fused(where)} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= {k}"
 
 
+_INDEXED: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark, d) -> TextIndex:
+    """The index of a folder's chunks, made once a session in the shared folder and used by all searches."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXED:
+        index = TextIndex(spark, scratch(spark, "text-index"))
+        index.add(chunks(spark, d))
+        _INDEXED[key] = index
+    return _INDEXED[key]
+
+
 @query(f"WITH {_bm25()} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM texts QUALIFY rank <= 20")
 def bm25_topk(spark, d):
+    return S.top(S.bm25(chunks(spark, d), QUERY, index=text_index(spark, d)), F.desc("score"), 20)
+
+
+@query(f"WITH {_bm25()} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM texts QUALIFY rank <= 20")
+def bm25_scan_topk(spark, d):
     return S.top(S.bm25(chunks(spark, d), QUERY), F.desc("score"), 20)
 
 
@@ -82,7 +102,7 @@ def vector_topk_l2(spark, d):
 
 
 def _search(spark, d, **o):
-    return S.hybrid_search(chunks(spark, d), QUERY, VECTOR, S.SearchOptions(limit=10, **o))
+    return S.hybrid_search(chunks(spark, d), QUERY, VECTOR, S.SearchOptions(limit=10, **o), text_index(spark, d))
 
 
 @query(_page("TRUE", 10))
@@ -121,7 +141,7 @@ def search_combined_filters(spark, d):
   f AS (SELECT project_id, file_path FROM r WHERE chunk_rank = 1 ORDER BY file_score DESC, project_id, file_path LIMIT 10)
 SELECT project_id, file_path, file_score, id, chunk_rank, score FROM r JOIN f USING (project_id, file_path) WHERE chunk_rank <= 3""")
 def grouped_search(spark, d):
-    return S.grouped_search(chunks(spark, d), QUERY, VECTOR, S.SearchOptions(limit=10, chunks_per_file=3))
+    return S.grouped_search(chunks(spark, d), QUERY, VECTOR, S.SearchOptions(limit=10, chunks_per_file=3), text_index(spark, d))
 
 
 @query(_page("TRUE", 10).replace("SELECT id, score, row_number", "SELECT id, score, rank, round(CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER () * 100 ELSE 0 END, 6) AS relevance FROM (SELECT id, score, row_number") + ")")

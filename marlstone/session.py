@@ -100,6 +100,17 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
     return not fs.exists(to) and fs.rename(p, to)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared one; it goes when the session's process ends."""
+    path = f"{scratch_root(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = []
+        atexit.register(_clean, spark, app)
+    _WRITTEN[app].append(path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -108,14 +119,9 @@ def materialise(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFra
     go when the session's process ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     w = df.write.mode("error")
     (w.partitionBy(*by) if by else w).parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _WRITTEN:
-        _WRITTEN[app] = []
-        atexit.register(_clean, spark, app)
-    _WRITTEN[app].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

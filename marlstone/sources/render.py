@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def _page(rows: DataFrame, columns: list[str] | None, most: int) -> tuple[list[str], list]:
+    """A page for the driver. What has more rows is never cut: it is an error, and ``write_tsv`` is for whole tables."""
     picked = rows.select(*columns) if columns else rows
-    return picked.columns, picked.limit(most).collect()
+    page = picked.limit(most + 1).collect()
+    if len(page) > most:
+        raise ValueError(f"more than {most} rows: raise most, choose rows or use write_tsv")
+    return picked.columns, page
 
 
 def as_table(rows: DataFrame, columns: list[str] | None = None, header: bool = True, most: int = 1000) -> str:

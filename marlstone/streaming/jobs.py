@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators.chunking import chunk_files
-from marlstone.operators.maintenance import event_kind
+from marlstone.operators.maintenance import KEY, event_kind, newest
 from marlstone.sources.store import Table
 
 EVENTS = "event_id BIGINT, project_id STRING, path STRING, kind STRING, detail STRING, at TIMESTAMP"
@@ -40,12 +40,13 @@ def sessions(events: DataFrame, by: list[str], at: str, gap: str) -> DataFrame:
 def index_stream(files: DataFrame, documents: Table, chunks: Table, checkpoint: str, most: int = 1500, trigger: dict | None = None, split: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Stream of file rows (id, project_id, file_path, content, ...) into the two tables.
 
-    A batch that is run again replaces the same files with the same rows, so a restart repeats nothing.
+    A batch that is run again replaces the same files with the same rows, so a restart repeats nothing. Of several rows of a file the
+    newest by ``indexed_at``, ``last_modified`` and ``id`` counts. Only the buckets of the batch's files are rewritten.
     """
     cut = split or (lambda d: chunk_files(d, most))
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.dropDuplicates(["project_id", "file_path"]).persist()
+        rows = newest(rows, KEY, [c for c in ("indexed_at", "last_modified", "id") if c in rows.columns] or ["content"]).persist()
         try:
             pieces = cut(rows).withColumn("id", F.sha2(F.concat_ws("\x1f", "project_id", "file_path", F.col("ordinal").cast("string")), 256)).withColumn("chunk_hash", F.unhex(F.sha2("content", 256)))
             documents.upsert(rows)
