@@ -164,28 +164,33 @@ def votes(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Null ids have no row, nor have null or empty texts, web pages and prose outside dependency folders; a null path or size is read as unknown. Without
     both declared and other files there is nothing to learn and the vote is the declaration.
     """
+    table = materialise(measured(files), "file-shapes")
+    return _voted(table, table, sample)
+
+
+def _voted(known: DataFrame, table: DataFrame, sample: int) -> DataFrame:
+    """``table`` with the vote of forests grown on ``known``."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    table = materialise(measured(files), "file-shapes")
-    total = table.count()
+    total = known.count()
     # the sample is drawn by a hash of the id, so it is the same on every run; a copy says nothing of how code looks
-    part = table.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(total, 1)))).filter("not copied").limit(2 * sample)
+    part = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(total, 1)))).filter("not copied").limit(2 * sample)
     kinds = {r[0]: r[1] for r in part.groupBy("made").count().collect()}
-    if len(kinds) < 2 or min(kinds.values()) < 5:
+    if len(kinds) < 2:
         return table.select("id", "made", "copied", F.col("made").alias("vote"))
     pack = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     part = pack.transform(part).select("made", "features").cache()
 
-    def grow(rows: DataFrame, seed: int, depth: int, leaf: int):
-        return RandomForestClassifier(labelCol="made", featuresCol="features", numTrees=TREES, maxDepth=depth, minInstancesPerNode=leaf, subsamplingRate=0.7, seed=seed).fit(rows)
+    def grow(rows: DataFrame, seed: int, depth: int, leaf: float):
+        return RandomForestClassifier(labelCol="made", featuresCol="features", numTrees=TREES, maxDepth=depth, minInstancesPerNode=3, minWeightFractionPerNode=leaf, subsamplingRate=0.7, seed=seed).fit(rows)
 
     vote = vector_to_array(F.col("probability"))[1]
     # large leaves in the first forest: a leaf must tell how often its files declare, not repeat each one's label
-    first = grow(part, 5, DEPTH - 2, max(3, min(total, sample) // 400))
+    first = grow(part, 5, DEPTH - 2, 1 / 400)
     clear = first.transform(part).filter((F.col("made") == 1) | (vote < DOUBT)).select("made", "features")
-    second = grow(clear, 6, DEPTH, 3)
+    second = grow(clear, 6, DEPTH, 0.0)
     part.unpersist()
     return second.transform(pack.transform(table)).select("id", "made", "copied", vote.alias("vote"))
 
@@ -193,3 +198,13 @@ def votes(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def not_handwritten(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(id) of files declared copied or made, or voted to be made by a tool; repeated ids come out once."""
     return votes(files, sample).filter("copied or made = 1 or vote >= 0.5").select("id").distinct()
+
+
+def held_out(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(declared, files, voted): forests grown on one half of the files, the other half's files with and without a declaration and how
+    many of each the vote alone says are made by a tool. Halves are by path, so versions of a file lie in one."""
+    path = F.coalesce("file_path", F.col("id").cast("string"))
+    half = lambda i: materialise(measured(files.filter(F.pmod(F.xxhash64(path), F.lit(2)) == i)), "file-shapes")
+    known, other = half(0), half(1)
+    rows = _voted(known, other.filter("not copied"), sample)
+    return rows.groupBy((F.col("made") == 1).alias("declared")).agg(F.count("*").alias("files"), F.sum((F.col("vote") >= 0.5).cast("long")).alias("voted"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 from marlstone.session import materialise
 
 WORD = re.compile(r"[^\W_]+")
-MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:nbsp|shy|zwnj|zwj);|[­​-‍⁠﻿]")
-EAST_ASIAN = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
+MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:nbsp|shy|zwnj|zwj);|[­​-‍⁠﻿]")
+# of folded text, in which half-width kana and squared signs have become ordinary ones
+EAST_ASIAN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: (k, w): spans of k + w - 1 units are found for certain.
 WORDS, CHARS = (8, 6), (20, 11)
-#: Bits of the bitmap that thins the corpus side (16 MB at most).
-BITS = 27
+#: Bits of the bitmap that thins the corpus side (16 MB), and hashes beyond which it would let too much through and is left out.
+BITS, MOST_MARKS = 27, 1 << 24
 REMEMBER = 500_000
 SEP = "\x1f"
 
@@ -134,19 +136,18 @@ def fingerprints(texts: DataFrame, bitmap: dict | None = None, chars: str = "ite
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = _Hashes(), None
         if bitmap is not None:
-            held = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-            raw = bitmap["at"].value
-            held[np.frombuffer(raw[0], np.int32)] = np.frombuffer(raw[1], np.uint8)
+            held = np.frombuffer(zlib.decompress(bitmap["at"].value), np.uint8)
         for batch in batches:
             ids, words, cids, letters = [], [], [], []
             for i, text, is_char in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if i is None or not text:
                     continue
-                u = WORD.findall(folded(text))
+                plain = folded(text)
+                u = WORD.findall(plain)
                 if chars != "item" or not is_char:
                     ids.append(i)
                     words.append(u)
-                if is_char if chars == "item" else chars == "both" or EAST_ASIAN.search(text):
+                if is_char if chars == "item" else chars == "both" or EAST_ASIAN.search(plain):
                     cids.append(i)
                     letters.append("".join(u))
             out: list = []
@@ -160,13 +161,16 @@ def fingerprints(texts: DataFrame, bitmap: dict | None = None, chars: str = "ite
     return texts.mapInArrow(work, SCHEMA)
 
 
-def _bitmap(marks: DataFrame) -> dict:
-    """The items' hashes as a sparse bitmap: bytes that are set, at most 2**(BITS-3) of them."""
+def _bitmap(marks: DataFrame) -> dict | None:
+    """The items' hashes as a bitmap of fixed size, sent packed; none if there are too many of them."""
     spark = marks.sparkSession
-    rows = (marks.select((F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1))).alias("bit")).distinct()
-            .select(F.shiftright("bit", 3).cast("int").alias("at"), F.expr("shiftleft(1, cast(bit & 7 as int))").alias("b"))
-            .groupBy("at").agg(F.bit_or("b").alias("b")).toPandas())
-    return {"at": spark.sparkContext.broadcast((rows["at"].to_numpy(np.int32).tobytes(), rows["b"].to_numpy(np.uint8).tobytes()))}
+    bits = marks.select(F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("bit")).distinct()
+    if marks.count() > MOST_MARKS:
+        return None
+    at = bits.toPandas()["bit"].to_numpy(np.int64)
+    held = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return {"at": spark.sparkContext.broadcast(zlib.compress(held.tobytes(), 1))}
 
 
 def _extended(hits: DataFrame) -> DataFrame:

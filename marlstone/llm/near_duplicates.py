@@ -125,7 +125,7 @@ def _sketches(sets: DataFrame, k: int) -> DataFrame:
     return sets.select("fp", "n", "runs").mapInArrow(work, schema)
 
 
-def _estimates(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+def _estimates(pairs: DataFrame, k: int, threshold: float, slack: float) -> DataFrame:
     """Keeps the pairs whose union sketch doesn't speak against ``threshold``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def _estimates(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
                 union = both[~np.concatenate([[False], both[1:] == both[:-1]])][:k]
                 shared = np.count_nonzero(twice & (both <= union[-1]))
                 m = len(union)
-                keep.append(shared / m >= threshold - SLACK * (threshold * (1 - threshold) / m) ** 0.5)
+                keep.append(shared / m >= threshold - slack * (threshold * (1 - threshold) / m) ** 0.5)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in (0, 1)], names=["a", "b"])
 
@@ -164,8 +164,11 @@ def _with_runs(pairs: DataFrame, sets: DataFrame, runs: Column) -> DataFrame:
             .join(side.withColumnsRenamed({"fp": "b", "r": "rb"}), "b").select("a", "b", "ra", "rb"))
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, k: int = K, prefix: int = PREFIX) -> DataFrame:
-    """(a, b, jaccard) over different sets, a < b, from the output of ``token_runs``."""
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, k: int = K, prefix: int = PREFIX, slack: float = SLACK) -> DataFrame:
+    """(a, b, jaccard) over different sets, a < b, from the output of ``token_runs``.
+
+    A set that several tasks keep as their first counts once a task in the document frequencies, which only order the values of a sketch.
+    """
     first = sets.filter("first")
     post = _sketches(first, k)
     df = post.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
@@ -180,22 +183,23 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, k: int = K, pref
     pairs = (a.join(b, "value").filter("a < b")
              .filter((F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")))
              .select("a", "b").distinct())
-    near = _estimates(_with_runs(pairs, first, F.substring("runs", 1, 8 * k)).hint("rebalance"), k, threshold).distinct()
+    near = _estimates(_with_runs(pairs, first, F.substring("runs", 1, 8 * k)).hint("rebalance"), k, threshold, slack).distinct()
     near = materialise(near, "near-candidates")
     needed = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     return _exact(_with_runs(near, first.join(needed, "fp", "left_semi"), F.col("runs")), threshold).distinct()
 
 
 def near_duplicate_pairs(records: DataFrame, id_col: str = "id", text_col: str = "content", threshold: float = THRESHOLD,
-                         min_tokens: int = MIN_TOKENS) -> DataFrame:
+                         min_tokens: int = MIN_TOKENS, k: int = K, prefix: int = PREFIX, slack: float = SLACK) -> DataFrame:
     """(id_a, id_b): every pair of different ids, smaller first, whose records are alike.
 
     Repeated rows of an id count once. A null id or text takes no part, nor does a text of
     fewer than ``min_tokens`` tokens. An empty table gives no rows. Other columns are ignored.
+    The search is exact with ``k`` and ``prefix`` at the size of the largest set or above and an infinite ``slack``.
     """
     sets = materialise(token_runs(records, id_col, text_col, min_tokens), "near-runs")
     members = sets.select("id", "fp").distinct()
-    alike = similar_sets(sets, threshold).select("a", "b")
+    alike = similar_sets(sets, threshold, k, prefix, slack).select("a", "b")
     same = members.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     x, y = members.withColumnsRenamed({"id": "x", "fp": "a"}), members.withColumnsRenamed({"id": "y", "fp": "b"})
     pairs = alike.unionByName(same).join(x, "a").join(y, "b").filter("x != y").filter("a != b or x < y")
@@ -222,12 +226,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def near_duplicate_classes(records: DataFrame, id_col: str = "id", text_col: str = "content", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def near_duplicate_classes(records: DataFrame, id_col: str = "id", text_col: str = "content", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS,
+                           k: int = K, prefix: int = PREFIX, slack: float = SLACK) -> DataFrame:
     """(id, class_id, links): one row per record that takes part, with the least id of its class and the number of
     records it is alike to. Records without a partner are a class of their own with no links."""
     sets = materialise(token_runs(records, id_col, text_col, min_tokens), "near-runs")
     members = sets.select("id", "fp").distinct()
-    alike = materialise(similar_sets(sets, threshold).select("a", "b"), "alike")
+    alike = materialise(similar_sets(sets, threshold, k, prefix, slack).select("a", "b"), "alike")
     size = members.groupBy("fp").agg(F.count("*").alias("size"), F.min("id").alias("least"))
     both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(size.select(F.col("fp").alias("b"), "size"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("size").alias("others"))

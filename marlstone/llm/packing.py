@@ -26,8 +26,8 @@ from marlstone.session import materialise
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Shares of a length in ranking.
-SHARES = 64
+#: Shares of a length in ranking, at least; more where there are more documents than so many a share.
+SHARES, SHARE_ROWS = 64, 100_000
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -94,7 +94,7 @@ def slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def packed(counts: DataFrame, limits: DataFrame, shares: int = SHARES) -> DataFrame:
+def packed(counts: DataFrame, limits: DataFrame, shares: int | None = None) -> DataFrame:
     """(limit_id, doc_id, piece, first_token, tokens, container) of (doc_id, tokens).
 
     Every document is in one container of each capacity, whole unless it is longer: then it is
@@ -107,6 +107,7 @@ def packed(counts: DataFrame, limits: DataFrame, shares: int = SHARES) -> DataFr
     caps = {r[0]: r[1] for r in limits.filter("limit_id is not null and capacity_tokens > 0").groupBy("limit_id").agg(F.max("capacity_tokens")).collect()}
     if not caps:
         return spark.createDataFrame([], "limit_id long, doc_id long, piece int, first_token long, tokens long, container long")
+    shares = shares or max(SHARES, counts.count() // SHARE_ROWS)
     cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
     whole = counts.select("doc_id", "tokens", F.explode(F.array(*[F.lit(k) for k in caps])).alias("limit_id"))
     whole = whole.withColumn("cap", cap[F.col("limit_id")]).withColumn("last", F.greatest(F.ceil(F.col("tokens") / F.col("cap")).cast("int") - 1, F.lit(0)))
@@ -132,3 +133,17 @@ def packed(counts: DataFrame, limits: DataFrame, shares: int = SHARES) -> DataFr
 def pack_documents(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``packed`` over the token counts of (doc_id, text)."""
     return packed(materialise(token_counts(documents, "doc_id", "text", vocabulary), "token-counts"), limits)
+
+
+def packing_facts(packs: DataFrame, counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """(limit_id, documents, torn, over, loose): of each capacity the documents packed, those that are cut without need or whose
+    pieces don't add up, the containers above the capacity, and whether more than a fiftieth of the room is left unused
+    beyond the last container."""
+    whole = packs.groupBy("limit_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("sum"), F.count_distinct("piece").alias("places"))
+    caps = limits.groupBy("limit_id").agg(F.max("capacity_tokens").alias("cap"))
+    checked = whole.join(caps, "limit_id").join(counts.groupBy("doc_id").agg(F.coalesce(F.max("tokens"), F.lit(0)).alias("all")), "doc_id")
+    torn = (F.col("sum") != F.col("all")) | (F.col("pieces") != F.greatest(F.ceil(F.col("all") / F.col("cap")), F.lit(1))) | (F.col("places") != F.col("pieces"))
+    docs = checked.groupBy("limit_id").agg(F.count("*").alias("documents"), F.sum(torn.cast("long")).alias("torn"))
+    boxes = packs.groupBy("limit_id", "container").agg(F.sum("tokens").alias("held")).join(caps, "limit_id")
+    full = boxes.groupBy("limit_id").agg(F.sum((F.col("held") > F.col("cap")).cast("long")).alias("over"), F.count("*").alias("boxes"), F.sum("held").alias("held"), F.max("cap").alias("cap"))
+    return docs.join(full, "limit_id").select("limit_id", "documents", "torn", "over", (F.col("boxes") > F.ceil(F.col("held") / F.col("cap") * 1.02) + 1).alias("loose"))

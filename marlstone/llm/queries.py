@@ -73,12 +73,51 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_rates(parsed(load(spark, sf_dir, "code_documents")))
 
 
+def p6_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rates must have in common with the table: files by project and language, and rates between 0 and 1."""
+    from pyspark.sql import functions as F
+
+    return p6_rates(spark, sf_dir).select("project_id", "language", "files", (F.col("rate").between(0, 1) & (F.col("failed") <= F.col("files"))).alias("sound"))
+
+
+def p5_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose shares are no shares, and documents of p5_found without one: none."""
+    from pyspark.sql import functions as F
+
+    shares = p5_shares(spark, sf_dir).groupBy("id").agg(F.sum("share").alias("all"), F.min("share").alias("least"))
+    wrong = shares.filter("all > 1.000001 or least <= 0").select("id")
+    return wrong.unionByName(p5_found(spark, sf_dir).join(shares, "id", "left_anti").select("id")).agg(F.count("*").alias("wrong"))
+
+
+def p9_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that overlap, are blank at an end or lie outside their text: none; and the texts that have sentences."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    w = Window.partitionBy("doc_id").orderBy("start_char")
+    rows = p9_found(spark, sf_dir).withColumn("next", F.lead("start_char").over(w))
+    wrong = ((F.col("next") < F.col("end_char")) | (F.col("start_char") >= F.col("end_char")) | (F.col("start_char") < 0)).cast("long")
+    per = rows.groupBy("doc_id").agg(F.sum(wrong).alias("wrong"), F.max("end_char").alias("end"))
+    both = per.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
+    return both.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.col("wrong") + (F.col("end") > F.col("n")).cast("long")), F.lit(0)).alias("wrong"))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.packing import pack_documents
 
     return pack_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_limits"))
 
 
+def p7_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.packing import packed, packing_facts, token_counts
+    from marlstone.session import materialise
+
+    counts = materialise(token_counts(load(spark, sf_dir, "documents"), "doc_id", "text"), "token-counts")
+    limits = load(spark, sf_dir, "pack_limits")
+    return packing_facts(materialise(packed(counts, limits), "packs"), counts, limits)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.leaks import leaked_items
 
@@ -110,6 +149,23 @@ WITH v AS (SELECT id, any_value(embedding::DOUBLE[]) AS e FROM code_chunks WHERE
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n
 """
 
+# every document in every capacity, nothing cut without need, nothing above the capacity, nothing loose
+P7_SQL = """
+SELECT limit_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS torn, 0::BIGINT AS over, FALSE AS loose FROM pack_limits
+"""
+
+P6_SQL = r"""
+SELECT project_id, CASE lower(regexp_extract(file_path, '\.(\w+)$', 1)) WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' END AS language,
+  count(DISTINCT id) AS files, TRUE AS sound FROM code_documents WHERE content IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2 HAVING language IS NOT NULL
+"""
+
+# shares of a file lie between 0 and 1 and don't sum to more, and every file that holds text of a language by p5_found has its share
+P5_SQL = "SELECT 0::BIGINT AS wrong"
+
+P9_SQL = r"""
+SELECT count(DISTINCT doc_id) AS texts, 0::BIGINT AS wrong FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}]')
+"""
+
 P8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text <> ''),
   i AS (SELECT item_id, regexp_matches(lower(lang), '^(zh|ja)') AS east, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
@@ -122,4 +178,4 @@ SELECT DISTINCT doc_id, item_id FROM iw JOIN dw USING (g) UNION SELECT DISTINCT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p6_sound": P6_SQL, "p7_sound": P7_SQL, "p8_found": P8_SQL, "p5_sound": P5_SQL, "p9_sound": P9_SQL}

@@ -107,6 +107,13 @@ def test_forest(spark):
     assert H.not_handwritten(few.limit(0)).collect() == []
 
 
+def test_held_out_notices_are_voted_without_being_seen(spark):
+    rows = [(f"h{i}", f"src/h{i}.py", HAND.format(i, i * 7), len(HAND.format(i, i * 7))) for i in range(120)]
+    rows += [(f"m{i}", f"web/m{i}.min.js" if i % 2 else f"web/m{i}.js", ("" if i % 2 else "// Code generated by x. DO NOT EDIT.\n") + MINI.replace("a1", f"z{i}"), 10) for i in range(80)]
+    got = {r["declared"]: r for r in H.held_out(spark.createDataFrame(rows, "id string, file_path string, content string, file_size long")).collect()}
+    assert got[True]["voted"] / got[True]["files"] > 0.9 and got[False]["voted"] / got[False]["files"] < 0.1
+
+
 TEXTS = {"en": "This filter keeps the rows of a table before the index reads them again", "de": "Die Datei wird nach dem Lauf gelesen und das Feld bleibt in der Tabelle", "fr": "Le fichier est lu avant la fin et le champ reste dans la table",
          "es": "El archivo se lee antes de la carga y el campo queda en la tabla", "ru": "Файл читается перед загрузкой и поле остаётся в таблице", "zh": "这个过滤器在读取索引之前保留表格的行。", "ja": "この関数は索引を読む前に表の行を保存する。"}
 

@@ -83,3 +83,20 @@ def test_grams_depend_on_their_own_units_only():
         assert all(h[i] == L.grams(u[i:i + k], k)[0] for i in range(0, len(h), 17))
     h = rng.integers(0, 100, 300).astype(np.uint64)
     assert set(L.winnowed(h, 6)) == {i for j in range(295) for i in range(j, j + 6) if h[i] == min(h[j:j + 6])}
+
+
+def test_long_tags_half_width_kana_and_rare_characters(spark):
+    p = " ".join(f"p{i}" for i in range(14))
+    words = p.split()
+    tag = f"<a title=\"{'x y ' * 120}\">"
+    kana = "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマ"
+    half = "ｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏ"
+    rare = "".join(chr(0x20000 + 7 * i) for i in range(31))
+    docs = [(1, " ".join(words[:7]) + tag + " ".join(words[7:]), "", 0), (2, half, "", 0), (3, f"one {rare} two", "", 0)]
+    assert run(spark, docs, [(1, "en", p, 0), (2, "ja", kana, 0), (3, "zh", rare, 0)]) == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_without_a_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_MARKS", 0)
+    p = " ".join(f"p{i}" for i in range(20))
+    assert run(spark, [(1, p, "", 0), (2, "x", "", 0)], [(1, "en", p, 0)]) == {(1, 1)}

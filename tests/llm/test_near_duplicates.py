@@ -83,3 +83,13 @@ def test_tables(spark, data):
     t = pq.read_table(f"{data}/code_chunks.parquet", columns=["id", "content"]).to_pylist()
     got = {tuple(r) for r in N.near_duplicate_pairs(spark.read.parquet(f"{data}/code_chunks.parquet")).collect()}
     assert got == brute([(r["id"], r["content"]) for r in t])
+
+
+def test_exact_setting(spark):
+    rows = made(11, 40)
+    # few retained values and a short prefix lose pairs; at the size of the sets nothing is lost
+    exact = {tuple(r) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, DDL), k=1_000, prefix=1_000, slack=float("inf")).collect()}
+    few = {tuple(r) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, DDL), k=4, prefix=1).collect()}
+    assert exact == brute(rows) and few <= exact
+    classes = N.near_duplicate_classes(spark.createDataFrame(rows, DDL), k=1_000, prefix=1_000, slack=float("inf")).collect()
+    assert sum(r["links"] for r in classes) == 2 * len(exact)

@@ -77,3 +77,18 @@ def test_very_short_texts_fill_containers(hist):
             fill[c] = fill.get(c, 0) + length
     assert sum(fill.values()) == sum(k * v for k, v in hist.items()) and max(fill.values()) <= cap
     assert len(fill) == -(-sum(fill.values()) // (cap - cap % min(hist))) and len(out) < 500
+
+
+def test_more_shares_change_nothing_but_the_work(spark):
+    counts = spark.createDataFrame([(i, 40 + i % 3) for i in range(300)] + [(1_000, 999)], "doc_id long, tokens long")
+    limits = spark.createDataFrame([(1, 100), (2, 250)], "limit_id long, capacity_tokens long")
+    boxes = []
+    for shares in (None, 2, 500):
+        packs = K.packed(counts, limits, shares)
+        facts = {r["limit_id"]: r for r in K.packing_facts(packs, counts, limits).collect()}
+        assert all(r["documents"] == 301 and r["torn"] == 0 and r["over"] == 0 for r in facts.values())
+        boxes.append(sorted((r[0], r[1]) for r in packs.groupBy("limit_id").agg({"container": "max"}).collect()))
+    assert boxes[0] == boxes[1] == boxes[2]
+    # a container too full and a document without a piece are seen
+    bad = K.packed(counts, limits).filter("doc_id <> 1000 or piece > 0")
+    assert sum(r["torn"] for r in K.packing_facts(bad, counts, limits).collect()) > 0
