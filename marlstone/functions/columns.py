@@ -79,6 +79,31 @@ def safe_name(c: str) -> Column:
     return F.translate(c, "/ ", "__")
 
 
+# States of a task.
+STATES = ("pending", "running", "completed", "partially_completed", "failed", "merged")
+
+
+def known_state(status: str) -> Column:
+    """Is a text one of the states? Null isn't."""
+    return F.coalesce(F.col(status).isin(*STATES), F.lit(False))
+
+
+def quoted(text: str) -> Column:
+    """A text as a literal of a query: in single quotes, those inside doubled; null stays null."""
+    return F.concat(F.lit("'"), F.replace(F.col(text), F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+NIL = "00000000-0000-0000-0000-000000000000"
+
+
+def no_sentinel(*ids: str) -> Column:
+    """Rows none of whose ids is the nil id that marks an empty table."""
+    out = F.lit(True)
+    for c in ids:
+        out &= ~F.col(c).eqNullSafe(NIL)
+    return out
+
+
 def retry_delay(count: str) -> Column:
     """Minutes until the next retry of something retried ``count`` times."""
     return F.element_at(F.array(*map(F.lit, RETRY_MINUTES)), F.least(F.greatest(F.col(count), F.lit(0)), F.lit(len(RETRY_MINUTES) - 1)) + 1).cast("long")

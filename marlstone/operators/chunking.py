@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.functions.tokens import Letters, Tokenizer, Tokens, Vocabulary, tokenizer
+
 MAX_CHUNK = 1500
 # Extensions and their languages; names and interpreters that tell a language without one.
 EXTENSIONS = {"py": "python", "pyi": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
@@ -53,27 +55,44 @@ def detect_language(path: str | None, text: str | None = None) -> str | None:
     return None
 
 
-def split_text(text: str, most: int = MAX_CHUNK) -> list[tuple[int, int]]:
-    """(start, end) in letters; pieces in order, no longer than ``most``, that add up to the text."""
+def split_text(text: str, most: int = MAX_CHUNK, measure: Letters | None = None, start: int = 0, stop: int | None = None) -> list[tuple[int, int]]:
+    """(start, end) in letters; pieces in order, no longer than ``most`` by ``measure`` (letters), that add up to the text
+    from ``start`` to ``stop``."""
+    measure = measure or Letters()
     out: list[tuple[int, int]] = []
-    at, n = 0, len(text)
+    at, n = start, len(text) if stop is None else stop
     while at < n:
-        if n - at <= most:
+        if measure.size(at, n) <= most:
             out.append((at, n))
             break
-        end = 0
+        end, reach = 0, min(n, measure.reach(at, most))
         for b in BOUNDARIES[:-1]:
-            for m in b.finditer(text, at + 1, at + most):
-                if m.end() <= at + most:
+            for m in b.finditer(text, at + 1, reach):
+                if m.end() <= reach:
                     end = m.end()
             if end > at:
                 break
-        end = end if end > at else at + most
+        end = end if end > at else reach
         out.append((at, end))
         at = end
     return out
 
 
+def fitted(text: str, pieces: list[tuple[int, int]], most: int, tok: Tokenizer) -> list[tuple[int, int]]:
+    """Pieces none of which has more than ``most`` tokens by itself; a piece can have more than its share of the whole text's tokens."""
+    out = []
+    for s, e in pieces:
+        n = tok.count(text[s:e])
+        if n <= most or e - s < 2:
+            out.append((s, e))
+        else:
+            mine = Tokens(text[s:e], tok)
+            parts = split_text(text[s:e], max(1, most - 1 - (n - most) // 2), mine)
+            halves = parts if len(parts) > 1 else [(0, (e - s) // 2), ((e - s) // 2, e - s)]
+            out += fitted(text, [(s + a, s + b) for a, b in halves], most, tok)
+    return out
+
+
 @dataclass
 class Node:
     """A declaration: kind, name, first and last line (from 0, end exclusive), scopes above it."""
@@ -154,8 +173,9 @@ def outline(language: str, text: str) -> list[Node]:
     raise ValueError(f"no outline for {language}")
 
 
-def split_code(text: str, language: str, path: str | None = None, most: int = MAX_CHUNK) -> list[dict]:
+def split_code(text: str, language: str, path: str | None = None, most: int = MAX_CHUNK, tok: Tokenizer | None = None) -> list[dict]:
     """Chunks with metadata. Whole declarations stay together as long as they fit; larger ones are opened."""
+    measure = Tokens(text, tok) if tok else Letters()
     nodes = outline(language, text)
     lines = text.splitlines(keepends=True)
     starts = [0]
@@ -163,19 +183,21 @@ def split_code(text: str, language: str, path: str | None = None, most: int = MA
         starts.append(starts[-1] + len(x))
     cuts = {0, len(lines)}
     for n in nodes:
-        size = starts[min(n.end, len(lines))] - starts[n.start]
-        if len(n.scope) == 1 or size > most or any(p.start <= n.start and n.end <= p.end and starts[min(p.end, len(lines))] - starts[p.start] > most for p in nodes if p is not n and len(p.scope) == len(n.scope) - 1):
+        size = measure.size(starts[n.start], starts[min(n.end, len(lines))])
+        if len(n.scope) == 1 or size > most or any(p.start <= n.start and n.end <= p.end and measure.size(starts[p.start], starts[min(p.end, len(lines))]) > most for p in nodes if p is not n and len(p.scope) == len(n.scope) - 1):
             cuts |= {n.start, min(n.end, len(lines))}
     order = sorted(cuts)
     pieces: list[tuple[int, int]] = []
     for a, b in zip(order, order[1:]):
         s, e = starts[a], starts[b]
-        if pieces and not text[s:e].strip() and pieces[-1][1] - pieces[-1][0] + e - s <= most:
+        if pieces and not text[s:e].strip() and measure.size(pieces[-1][0], e) <= most:
             pieces[-1] = (pieces[-1][0], e)
-        elif e - s <= most:
+        elif measure.size(s, e) <= most:
             pieces.append((s, e))
         else:
-            pieces += [(s + x, s + y) for x, y in split_text(text[s:e], most)]
+            pieces += split_text(text, most, measure, s, e)
+    if tok:
+        pieces = fitted(text, pieces, most, tok)
     return [describe(text, s, e, nodes, starts, language, path, i) for i, (s, e) in enumerate(pieces)]
 
 
@@ -192,20 +214,21 @@ def describe(text: str, s: int, e: int, nodes: list[Node], starts: list[int], la
             "parent_context": above[-1] if above else path, "scope_path": own.scope if own else [], "definitions": sorted(defined), "symbol_refs": sorted(called - defined)}
 
 
-def split_plain(text: str, path: str | None = None, most: int = MAX_CHUNK) -> list[dict]:
+def split_plain(text: str, path: str | None = None, most: int = MAX_CHUNK, tok: Tokenizer | None = None) -> list[dict]:
+    pieces = fitted(text, split_text(text, most, Tokens(text, tok)), most, tok) if tok else split_text(text, most)
     return [{"start": s, "end": e, "node_type": "text_chunk", "node_name": f"text_chunk_{i + 1}" if path else None, "language": "text", "parent_context": path, "scope_path": [], "definitions": [], "symbol_refs": []}
-            for i, (s, e) in enumerate(split_text(text, most))]
+            for i, (s, e) in enumerate(pieces)]
 
 
-def split_file(text: str, path: str | None, most: int = MAX_CHUNK) -> list[dict]:
+def split_file(text: str, path: str | None, most: int = MAX_CHUNK, tok: Tokenizer | None = None) -> list[dict]:
     """By outline if the language is known and the text has one, else as text."""
     language = detect_language(path, text)
     if language in OUTLINED:
         try:
-            return split_code(text, language, path, most)
+            return split_code(text, language, path, most, tok)
         except (ValueError, SyntaxError, RecursionError, MemoryError):
             pass
-    return split_plain(text, path, most)
+    return split_plain(text, path, most, tok)
 
 
 CHUNK = T.StructType([
@@ -216,21 +239,30 @@ CHUNK = T.StructType([
 _ARROW = [pa.string()] * 3 + [pa.int64(), pa.string()] + [pa.int64()] * 4 + [pa.string()] * 4 + [pa.list_(pa.string())] * 3
 
 
-def chunk_files(files: DataFrame, most: int = MAX_CHUNK, text_only: bool = False, id_col: str = "id", group_col: str = "project_id", path_col: str = "file_path", text_col: str = "content") -> DataFrame:
-    """Chunks of every file with byte ranges and true lines. Null texts have none; an empty text has none."""
+def chunk_files(files: DataFrame, most: int = MAX_CHUNK, text_only: bool = False, id_col: str = "id", group_col: str = "project_id", path_col: str = "file_path", text_col: str = "content",
+                vocabulary: str | None = None) -> DataFrame:
+    """Chunks of every file with byte ranges and true lines. Null texts have none; an empty text has none.
+
+    With a vocabulary file ``most`` counts tokens rather than letters, and every chunk keeps its token ids; it has no more than ``most``
+    of them unless a single letter has.
+    """
+    shared = files.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary)) if vocabulary else None
+    schema = T.StructType([*CHUNK.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]) if vocabulary else CHUNK
+    types = [*_ARROW, pa.list_(pa.int32())] if vocabulary else _ARROW
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(shared.value) if shared else None
         for batch in batches:
             rows: list[tuple] = []
             for i, group, path, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 if not text:
                     continue
                 byte = line = last = 0
-                for k, c in enumerate(split_plain(text, path, most) if text_only else split_file(text, path, most)):
+                for k, c in enumerate(split_plain(text, path, most, tok) if text_only else split_file(text, path, most, tok)):
                     part = text[c["start"]:c["end"]]
                     size, ends = len(part.encode("utf-8", "surrogatepass")), part.count("\n")
                     last = line + ends - (part.endswith("\n"))
-                    rows.append((i, group, path, k, part, byte, byte + size, line + 1, max(line, last) + 1, *(c[x] for x in ("node_type", "node_name", "language", "parent_context", "scope_path", "definitions", "symbol_refs"))))
+                    rows.append((i, group, path, k, part, byte, byte + size, line + 1, max(line, last) + 1, *(c[x] for x in ("node_type", "node_name", "language", "parent_context", "scope_path", "definitions", "symbol_refs")), *([tok.encode(part)] if tok else [])))
                     byte, line = byte + size, line + ends
                     if len(rows) >= 5_000:
                         yield pack(rows)
@@ -238,7 +270,7 @@ def chunk_files(files: DataFrame, most: int = MAX_CHUNK, text_only: bool = False
             yield pack(rows)
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [()] * len(_ARROW)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW)], names=CHUNK.names)
+        cols = list(zip(*rows)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=schema.names)
 
-    return files.select(*(F.col(c).cast("string") for c in (id_col, group_col, path_col, text_col))).mapInArrow(work, CHUNK)
+    return files.select(*(F.col(c).cast("string") for c in (id_col, group_col, path_col, text_col))).mapInArrow(work, schema)

@@ -64,11 +64,14 @@ class TokenProvider:
 PROVIDERS: dict[str, Callable[..., Provider]] = {"hash": HashProvider, "tokens": TokenProvider}
 
 
-def provider(name: str, **settings: int) -> Callable[[], Provider]:
-    """A factory by name. Remote providers need a network and register themselves in ``PROVIDERS``."""
+def provider(name: str, **settings) -> Callable[[], Provider]:
+    """A factory by name; those of ``marlstone.operators.remote`` need a service."""
+    import marlstone.operators.remote  # noqa: F401 - registers its providers
+
     if name not in PROVIDERS:
         raise ValueError(f"unknown provider {name!r}; there are {sorted(PROVIDERS)}")
-    return lambda: PROVIDERS[name](**settings)
+    cls = PROVIDERS[name]
+    return lambda: cls(**settings)
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -111,6 +114,7 @@ def embed(rows: DataFrame, make: Callable[[], Provider], text: str = "content",
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = make()
         for part in parts:
+            texts = part[text].tolist()
             vectors: list = [None] * len(part)
             errors: list = [None] * len(part)
             at: list[int] = []
@@ -120,14 +124,14 @@ def embed(rows: DataFrame, make: Callable[[], Provider], text: str = "content",
                 nonlocal at, held
                 if at:
                     try:
-                        for i, v in zip(at, p.embed([part[text].iloc[i] for i in at]), strict=True):
+                        for i, v in zip(at, p.embed([texts[i] for i in at]), strict=True):
                             vectors[i] = np.asarray(v, dtype=np.float32)
                     except Exception as e:  # the batch fails as a whole
                         for i in at:
                             errors[i] = f"{type(e).__name__}: {e}"
                 at, held = [], 0
 
-            for i, t in enumerate(part[text]):
+            for i, t in enumerate(texts):
                 if t is None:
                     continue
                 n = len(t.encode("utf-8", "surrogatepass")) // 4
@@ -141,6 +145,35 @@ def embed(rows: DataFrame, make: Callable[[], Provider], text: str = "content",
     return rows.mapInPandas(work, schema)
 
 
+def embed_late(rows: DataFrame, make: Callable[[], Provider], by: list[str], order: list[str], text: str = "content") -> DataFrame:
+    """``rows`` with ``embedding`` from token vectors of their whole file: the chunks of a file, in order, are encoded together up to the
+    provider's context, and each gets the mean of its own tokens. The provider must give token vectors. A null text has none."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        p = make()
+        part = part.sort_values(order, ignore_index=True)
+        vectors: list[np.ndarray | None] = [None] * len(part)
+        run: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> None:
+            for (i, _), v in zip(run, late_chunks([t for _, t in run])):
+                vectors[i] = v.astype(np.float32)
+            run.clear()
+
+        for i, t in enumerate(part[text].tolist()):
+            if t is None:
+                continue
+            own = p.token_vectors(t)
+            if run and sum(len(x) for _, x in run) + len(own) > p.context:
+                flush()
+            run.append((i, own))
+        flush()
+        return part.assign(embedding=vectors)
+
+    return rows.groupBy(*by).applyInPandas(work, schema)
+
+
 def failed_files(embedded: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Files with a row in a failed batch, with the first error by text."""
     key = key or ["project_id", "file_path"]

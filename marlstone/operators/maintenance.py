@@ -126,6 +126,24 @@ def due_retries(batches: DataFrame, now: Column) -> DataFrame:
     return batches.filter(F.col("retry_after") <= now)
 
 
+def due_rescans(projects: DataFrame, now: Column) -> DataFrame:
+    """Active projects with an interval whose last run is at least that long ago, or that never ran. Intervals are microseconds."""
+    due = F.col("last_indexed_at").isNull() | (F.unix_micros(F.col("last_indexed_at").cast("timestamp")) + F.col("rescan_interval") <= F.unix_micros(now.cast("timestamp")))
+    return projects.filter((F.col("status") == "Active") & F.col("rescan_interval").isNotNull() & due)
+
+
+def encoded_changes(changes: str) -> Column:
+    """A list of changes (path, operation) as the JSON text of a partial task; the counterpart of ``task_changes``."""
+    return F.to_json(F.struct(F.struct(F.col(changes).alias("changes")).alias("PartialUpdate")))
+
+
+def run_counters(documents: DataFrame, chunks: DataFrame, key: str = "id") -> DataFrame:
+    """One row: rows, distinct ids and bytes of documents and of chunks."""
+    facts = lambda rows, name: rows.agg(F.count("*").alias(f"{name}_rows"), F.count_distinct(key).alias(name), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias(f"{name}_bytes"))
+    # both sides are single rows
+    return facts(documents, "documents").crossJoin(facts(chunks, "chunks"))
+
+
 def event_kind(kind: str, detail: str) -> Column:
     """Operation that a file event stands for; null for events that change nothing."""
     k, d = F.lower(kind), F.lower(F.coalesce(F.col(detail), F.lit("")))

@@ -24,6 +24,8 @@ QUERY = "retry window"
 VECTOR = hash_vector(QUERY)
 _V = "[" + ", ".join(repr(x) for x in VECTOR) + "]::DOUBLE[]"
 NOW = "2025-04-01 00:00:00"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+RESCAN_AT = "2025-08-20 12:00:00"
 
 
 def query(sql: str | None = None) -> Callable:
@@ -501,6 +503,90 @@ def debounce_sessions(spark, d):
     return out.select("user_id", F.col("since").cast("timestamp_ntz").alias("since"), F.col("until").cast("timestamp_ntz").alias("until"), "events")
 
 
+@query(f"SELECT id FROM projects WHERE status = 'Active' AND rescan_interval IS NOT NULL AND (last_indexed_at IS NULL OR epoch_us(last_indexed_at) + rescan_interval <= epoch_us(TIMESTAMP '{RESCAN_AT}'))")
+def due_rescan(spark, d):
+    return M.due_rescans(load(spark, d, "projects"), F.lit(RESCAN_AT).cast("timestamp_ntz")).select("id")
+
+
+@query("SELECT id, updated_at, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM projects QUALIFY rank <= 10")
+def newest_projects(spark, d):
+    rows = load(spark, d, "projects").select("id", "updated_at", "created_at").orderBy(F.desc("created_at"), "id").limit(10)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long")).drop("created_at")
+
+
+@query("SELECT id, created_at FROM index_tasks WHERE status = 'pending' ORDER BY created_at, id LIMIT 1")
+def oldest_pending(spark, d):
+    return load(spark, d, "index_tasks").filter("status = 'pending'").select("id", "created_at").orderBy("created_at", "id").limit(1)
+
+
+@query("SELECT id, name, directory FROM projects WHERE directory = (SELECT min(directory) FROM projects)")
+def point_lookup(spark, d):
+    rows = load(spark, d, "projects")
+    return rows.filter(F.col("directory") == rows.agg(F.min("directory")).first()[0]).select("id", "name", "directory")
+
+
+@query("SELECT EXISTS (SELECT 1 FROM index_tasks WHERE status = 'running') AS running, EXISTS (SELECT 1 FROM index_tasks WHERE status = 'nowhere') AS nowhere")
+def existence(spark, d):
+    rows = load(spark, d, "index_tasks")
+    some = lambda s: not rows.filter(F.col("status") == s).isEmpty()
+    return spark.createDataFrame([(some("running"), some("nowhere"))], "running boolean, nowhere boolean")
+
+
+@query("SELECT count(*) AS n FROM code_chunks WHERE project_id <> '00000000-0000-0000-0000-000000000000' AND language = 'rust'")
+def filtered_count(spark, d):
+    return chunks(spark, d).filter(C.no_sentinel("project_id") & (F.col("language") == "rust")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT d.n AS documents_rows, d.u AS documents, d.b AS documents_bytes, c.n AS chunks_rows, c.u AS chunks, c.b AS chunks_bytes
+FROM (SELECT count(*) AS n, count(DISTINCT id) AS u, CAST(sum(strlen(content)) AS BIGINT) AS b FROM code_documents) d, (SELECT count(*) AS n, count(DISTINCT id) AS u, CAST(sum(strlen(content)) AS BIGINT) AS b FROM code_chunks) c""")
+def run_counters(spark, d):
+    return M.run_counters(docs(spark, d), chunks(spark, d))
+
+
+@query("SELECT kind, count(*) AS n, count(DISTINCT project_id) AS projects FROM (SELECT 'stored' AS kind, project_id, file_path FROM code_documents UNION ALL SELECT 'seen', project_id, file_path FROM file_scans) GROUP BY kind")
+def union_of_batches(spark, d):
+    part = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "project_id", "file_path")
+    both = part(docs(spark, d), "stored").unionByName(part(load(spark, d, "file_scans"), "seen"))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("project_id").alias("projects"))
+
+
+@query("SELECT project_id, file_path FROM code_documents INTERSECT SELECT project_id, file_path FROM file_scans WHERE operation = 'Delete'")
+def stored_and_deleted(spark, d):
+    return docs(spark, d).select("project_id", "file_path").intersect(load(spark, d, "file_scans").filter("operation = 'Delete'").select("project_id", "file_path"))
+
+
+@query("SELECT status, status IN ('pending', 'running', 'completed', 'partially_completed', 'failed', 'merged') AS known, count(*) AS tasks FROM (SELECT status FROM index_tasks UNION ALL SELECT status FROM projects) GROUP BY ALL")
+def known_states(spark, d):
+    rows = load(spark, d, "index_tasks").select("status").unionByName(load(spark, d, "projects").select("status"))
+    return rows.groupBy("status", C.known_state("status").alias("known")).agg(F.count("*").alias("tasks"))
+
+
+@query("""SELECT id, chr(39) || replace(coalesce(description, name) || chr(39) || 's', chr(39), chr(39) || chr(39)) || chr(39) AS literal FROM projects""")
+def quoted_literals(spark, d):
+    rows = load(spark, d, "projects").select("id", F.concat(F.coalesce("description", "name"), F.lit("'s")).alias("t"))
+    return rows.select("id", C.quoted("t").alias("literal"))
+
+
+@query("""SELECT id, replace(replace(task_type, '": ', '":'), ', "', ',"') AS task_type FROM index_tasks WHERE task_type LIKE '{%'""")
+def task_json_round_trip(spark, d):
+    rows = load(spark, d, "index_tasks").filter(~M.is_full()).select("id", M.task_changes().alias("changes")).filter("changes is not null")
+    return rows.select("id", F.replace(M.encoded_changes("changes"), F.lit("},{"), F.lit("}, {")).alias("task_type"))
+
+
+def _first_project(spark, d) -> str:
+    return chunks(spark, d).agg(F.min("project_id")).first()[0]
+
+
+@query(_page("project_id = (SELECT min(project_id) FROM code_chunks)", 10))
+def search_project_scope(spark, d):
+    return _search(spark, d, project_id=_first_project(spark, d))
+
+
+@query(_page("parent_context = (SELECT min(parent_context) FROM code_chunks)", 10))
+def search_parent_context(spark, d):
+    return _search(spark, d, parent_context=chunks(spark, d).agg(F.min("parent_context")).first()[0])
+
+
 # ---- rows without an SQL counterpart: tested against invariants
 
 @query()
@@ -517,6 +603,66 @@ def chunk_code(spark, d):
     return chunk_files(newest_documents(spark, d, "content"), 1500)
 
 
+def _torn(files: DataFrame, pieces: DataFrame, key: str = "file_id") -> DataFrame:
+    """One row: files with chunks, and those whose chunks, put together in order, aren't the file or have wrong byte places."""
+    at = F.col("start_byte") != F.col("expected")
+    w = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("size", F.octet_length("content")).withColumn("expected", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    whole = placed.groupBy(key).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "content"))), lambda c: c["content"]), ""), 256).alias("h"),
+                                    F.max(at | (F.col("end_byte") - F.col("start_byte") != F.col("size"))).alias("off"))
+    both = files.select(F.col("id").alias(key), F.sha2("content", 256).alias("own")).join(whole, key)
+    return both.agg(F.count("*").alias("files"), F.coalesce(F.sum((F.col("off") | (F.col("h") != F.col("own"))).cast("long")), F.lit(0)).alias("torn"))
+
+
+@query("SELECT count(*) AS files, 0::BIGINT AS torn FROM documents WHERE length(text) > 0")
+def chunk_text_sound(spark, d):
+    return _torn(load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content")), chunk_text(spark, d))
+
+
+@query("SELECT count(*) AS files, 0::BIGINT AS torn FROM (SELECT arg_max(content, (indexed_at, id)) AS content FROM code_documents GROUP BY project_id, file_path) WHERE length(content) > 0")
+def chunk_code_sound(spark, d):
+    return _torn(newest_documents(spark, d, "content"), chunk_code(spark, d))
+
+
+@query("SELECT count(*) AS documents, 0::BIGINT AS wrong FROM documents WHERE length(text) > 0")
+def chunk_tokens_sound(spark, d):
+    """Chunks by tokens of a public vocabulary: no chunk above the limit, ids kept, and no file left out."""
+    from marlstone.operators.chunking import chunk_files
+
+    files = load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "project_id", F.col("doc_path").alias("file_path"), F.col("text").alias("content"))
+    rows = chunk_files(files, 256, text_only=True, vocabulary=VOCABULARY)
+    return rows.agg(F.count_distinct("file_id").alias("documents"), F.sum((~F.size("token_ids").between(1, 256)).cast("long")).alias("wrong"))
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS documents, 0::BIGINT AS above, FALSE AS loose FROM documents GROUP BY source")
+def token_batches_sound(spark, d):
+    """Batches in order: none above a limit but for single items, and no batch that would have had room for the next one's first item."""
+    rows = token_batches(spark, d)
+    by = ["source", "upstream", "batch_id"]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.min_by("tokens", "doc_id").alias("first"))
+    above = (F.col("n") > 128) | (F.col("t") > 8_000) & (F.col("n") > 1)
+    nxt = F.lead("first").over(Window.partitionBy("source", "upstream").orderBy("batch_id"))
+    checked = sums.withColumn("above", above.cast("long")).withColumn("loose", F.coalesce((F.col("n") < 128) & (F.col("t") + nxt <= 8_000), F.lit(False)))
+    return checked.groupBy("source").agg(F.sum("n").alias("documents"), F.sum("above").alias("above"), F.max("loose").alias("loose"))
+
+
+@query("SELECT count(*) AS documents, 0::BIGINT AS wrong FROM documents WHERE text IS NOT NULL")
+def hash_embed_sound(spark, d):
+    """One vector of the right width for every text, between 0 and 1, equal for equal texts."""
+    rows = hash_embed(spark, d).filter("embedding is not null")
+    wrong = (F.size("embedding") != 64) | F.exists("embedding", lambda x: ~x.between(0.0, 1.0)) | F.col("embed_error").isNotNull()
+    return rows.agg(F.count("*").alias("documents"), F.sum(wrong.cast("long")).alias("wrong"))
+
+
+@query("SELECT count(DISTINCT id) AS chunks, 0::BIGINT AS wrong FROM code_chunks WHERE content IS NOT NULL")
+def token_embed_sound(spark, d):
+    """One vector of length 1 (or 0, where there are no words) for every chunk."""
+    rows = token_embed(spark, d).filter("embedding is not null")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    wrong = (F.size("embedding") != 64) | ~((F.abs(length - 1) < 1e-3) | (length == 0))
+    return rows.agg(F.count("*").alias("chunks"), F.sum(wrong.cast("long")).alias("wrong"))
+
+
 @query()
 def hash_embed(spark, d):
     from marlstone.operators.embedding import embed, provider
@@ -528,7 +674,9 @@ def hash_embed(spark, d):
 def token_embed(spark, d):
     from marlstone.operators.embedding import embed, provider
 
-    return embed(one_row_chunks(spark, d, "project_id", "file_path", "content"), provider("tokens", width=64)).select("id", "embedding", "embed_error")
+    # vectors are shuffled, not texts: repeated rows go after they are embedded
+    rows = embed(chunks(spark, d).select("id", "content"), provider("tokens", width=64)).select("id", "embedding", "embed_error")
+    return rows.dropDuplicates(["id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

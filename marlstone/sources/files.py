@@ -21,10 +21,27 @@ from pyspark.sql import types as T
 from marlstone.operators.chunking import detect_language
 
 MAX_FILE = 5 * 1024 * 1024
+#: Bytes of files that go on together.
+BATCH = 16 * 1024 * 1024
 # What is never read, in the notation of ignore files.
-IGNORED = (".git/ node_modules/ dist/ build/ target/ .gradle/ __pycache__/ .pytest_cache/ coverage/ venv/ .venv/ env/ .next/ .terraform/ .idea/ .direnv/ "
-           "*.csv *.tsv *.psv *.xml *.sql.gz *.sqlite *.db *.dump *.swp *.swo *~ *.tfstate package-lock.json yarn.lock Cargo.lock Pipfile.lock poetry.lock composer.lock Gemfile.lock "
-           "pnpm-lock.yaml go.sum mix.lock uv.lock flake.lock").split()
+IGNORED = (
+    ".git/",
+    # tables and dumps
+    "*.csv", "*.tsv", "*.psv", "*.xml", "*dump.sql", "*backup.sql", "*migration_data*.sql", "*.sql.gz",
+    # locked versions
+    "package-lock.json", "yarn.lock", "Cargo.lock", "Pipfile.lock", "poetry.lock", "composer.lock", "Gemfile.lock", "pnpm-lock.yaml", "go.sum", "mix.lock", "uv.lock", "flake.lock",
+    # what builds and caches leave
+    "node_modules/", ".next/", "dist/", "build/", "target/", ".gradle/", "__pycache__/", ".pytest_cache/", "coverage/", "venv/", ".venv/", "env/", ".env/", "virtualenv/",
+    # editors
+    ".vscode/settings.json", ".idea/", "*.swp", "*.swo", "*~",
+    # databases
+    "*.sqlite", "*.db", "*.dump",
+    # infrastructure: state, plans, generated files, caches
+    "*.tfstate", "*.tfstate.*", "*.tfplan", "*.tfplan.*", ".terraform/", ".terraform.lock.hcl", "Pulumi.*.yaml", ".pulumi/", "*.retry", ".ansible/", "cdk.out/", ".cdk.staging/", "k8s-generated/", "manifests/generated/",
+    "charts/*.tgz", ".helm/", ".aws/cli/cache/", ".azure/", ".docker/", ".vagrant/", ".nomad/",
+    # shells and environments
+    ".direnv/", ".nix-profile/", ".nix-defexpr/", "result-*", ".nix-gc-roots/", "/nix/", ".devenv/", ".direnv/flake-profile*", ".cachix/", "shell.nix", ".devcontainer/",
+)
 IGNORE_FILES = (".gitignore", ".ignore", ".marlstoneignore")
 
 
@@ -124,23 +141,36 @@ FILE = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("
                      T.StructField("language", T.StringType()), T.StructField("state", T.StringType())])
 
 
-def read_files(spark: SparkSession, root: str, paths: list[tuple[str, int]], known: dict[str, bytes] | None = None, partitions: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, root: str, paths: list[tuple[str, int]], known: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Rows of ``FILE``: state is "read", "unchanged" (digest known), "binary", "undecodable" or "gone".
 
-    Only "read" rows carry a text. ``known`` are stored digests of this tree's files; they go with the paths.
+    Only "read" rows carry a text. ``known`` has stored digests (file_path, content_hash), which are joined by the executors.
     """
     n = partitions or max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
     heap = [(0, i) for i in range(n)]
     rows = []
     for p, size in sorted(paths, key=lambda x: (-x[1], x[0])):
         held, i = heapq.heappop(heap)
-        rows.append((i, p, (known or {}).get(p)))
+        rows.append((i, p))
         heapq.heappush(heap, (held + size, i))
-    src = spark.createDataFrame(rows, "part int, path string, old binary")
+    src = spark.createDataFrame(rows, "part int, path string")
+    if known is None:
+        src = src.withColumn("old", F.lit(None).cast("binary"))
+    else:
+        old = known.groupBy(F.col("file_path").alias("path")).agg(F.max("content_hash").alias("old"))
+        src = src.join(old, "path", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        names = ["file_path", "file_size", "content", "content_hash", "language", "state"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
+        rows: list[tuple] = []
+        held = 0
+
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)], names=names)
+
         for batch in batches:
             for p, old in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 size, text, digest, lang, state = None, None, None, None, "gone"
@@ -154,13 +184,17 @@ def read_files(spark: SparkSession, root: str, paths: list[tuple[str, int]], kno
                         state = "unchanged"
                     else:
                         text = raw.decode("utf-8")
-                        lang, state = detect_language(p, text[:200]), "read"
+                        lang, state = detect_language(p, text), "read"
                 except FileNotFoundError:
                     pass
                 except UnicodeDecodeError:
                     state = "undecodable"
-                yield pa.RecordBatch.from_pylist([{"file_path": p, "file_size": size, "content": text, "content_hash": digest, "language": lang, "state": state}],
-                                                 schema=pa.schema([("file_path", pa.string()), ("file_size", pa.int64()), ("content", pa.string()), ("content_hash", pa.binary()), ("language", pa.string()), ("state", pa.string())]))
+                rows.append((p, size, text, digest, lang, state))
+                held += size or 0
+                if held > BATCH or len(rows) >= 1_000:
+                    yield pack()
+                    rows, held = [], 0
+        yield pack()
 
     return src.repartitionByRange(n, "part").select("path", "old").mapInArrow(work, FILE)
 
@@ -168,11 +202,11 @@ def read_files(spark: SparkSession, root: str, paths: list[tuple[str, int]], kno
 def scan_tree(spark: SparkSession, root: str, stored: DataFrame | None = None, max_size: int = MAX_FILE) -> tuple[DataFrame, DataFrame]:
     """(files, deletes) of a tree: what to read and index, and the stored paths that are no longer there."""
     found = list_files(root, max_size)
-    known = {}
+    known = None
     deletes = spark.createDataFrame([], "file_path string")
     if stored is not None:
         here = spark.createDataFrame([(p,) for p, _, _ in found], "file_path string")
-        known = {r[0]: bytes(r[1]) for r in stored.select("file_path", "content_hash").join(F.broadcast(here), "file_path", "left_semi").toLocalIterator()}
+        known = stored.select("file_path", "content_hash")
         deletes = stored.select("file_path").distinct().join(here, "file_path", "left_anti")
     return read_files(spark, root, [(p, s) for p, s, _ in found], known), deletes
 
