@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.session import ship
+
 LATIN = ("en", "de", "fr", "es")
 SPACED, EASTERN = (*LATIN, "ru"), ("zh", "ja")
 LANGUAGES = (*SPACED, *EASTERN)
@@ -383,6 +385,7 @@ def languages(files: DataFrame, model: dict, id_col: str = "id", path_col: str =
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], names=SCHEMA.names)
 
+    ship(files.sparkSession)
     return files.select(*(F.col(c).cast("string") for c in (id_col, path_col, text_col))).mapInArrow(work, SCHEMA)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.session import materialise
+from marlstone.session import materialise, ship
 
 #: Rows the forests are grown on, at most; every file is then judged.
 SAMPLE = 20_000
@@ -155,6 +155,7 @@ def measured(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(made, pa.float64()), pa.array(copied, pa.bool_()), *(pa.array(c, pa.float64()) for c in cols)], names=schema.names)
 
     picked = files.select(F.col("id").cast("string").alias("id"), F.col("file_path").cast("string").alias("p"), F.col("content").cast("string").alias("t"), F.col("file_size").cast("long").alias("s"))
+    ship(files.sparkSession)
     return picked.mapInArrow(work, schema)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import materialise
+from marlstone.session import materialise, ship
 
 WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:nbsp|shy|zwnj|zwj);|[­​-‍⁠﻿]")
@@ -158,6 +158,7 @@ def fingerprints(texts: DataFrame, bitmap: dict | None = None, chars: str = "ite
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int32()))],
                 names=["id", "chars", "fp", "ctx", "lead"])
 
+    ship(texts.sparkSession)
     return texts.mapInArrow(work, SCHEMA)
 
 

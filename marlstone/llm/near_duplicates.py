@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.session import materialise
+from marlstone.session import materialise, ship
 
 TOKEN = re.compile(r"\w+")
 MIN_TOKENS = 20
@@ -104,6 +104,7 @@ def token_runs(records: DataFrame, id_col: str, text_col: str, min_tokens: int =
                 names=["id", "fp", "n", "first", "runs"])
 
     picked = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    ship(records.sparkSession)
     return picked.mapInArrow(work, schema)
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import materialise
+from marlstone.session import materialise, ship
 
 WIDTH = 64
 #: Vectors that the rotations and the centres are fitted on, at most.
@@ -84,6 +84,7 @@ def usable(rows: DataFrame, id_col: str, vec_col: str, width: int = WIDTH) -> Da
             vecs = pa.array([raw[i:i + 4 * width] for i in range(0, len(raw), 4 * width)], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, vecs], names=["id", "vec"])
 
+    ship(rows.sparkSession)
     return (rows.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
             .mapInArrow(work, "id string, vec binary"))
 

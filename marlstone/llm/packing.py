@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import materialise
+from marlstone.session import materialise, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that splits text before the merges of this vocabulary.
@@ -43,6 +43,7 @@ def token_counts(texts: DataFrame, id_col: str, text_col: str, vocabulary: str =
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
+    ship(texts.sparkSession)
     return texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, tokens long")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.session import ship
+
 #: Texts whose verdict a task remembers, so that stored versions without a change cost nothing.
 REMEMBER = 50_000
 ERROR = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("cause", T.StringType()), T.StructField("message", T.StringType())]))
@@ -53,6 +55,7 @@ def parsed(files: DataFrame, id_col: str = "id", path_col: str = "file_path", te
                 *(pa.array(c, t) for c, t in zip(out[:5], (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()))),
                 pa.array(out[5], pa.list_(pa.struct([("line", pa.int32()), ("cause", pa.string()), ("message", pa.string())])))], names=SCHEMA.names)
 
+    ship(files.sparkSession)
     return files.select(*(F.col(c).cast("string") for c in (id_col, path_col, text_col, group_col))).mapInArrow(work, SCHEMA)
 
 

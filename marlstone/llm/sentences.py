@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import ship
+
 # Abbreviations after which a sentence goes on.
 GOES_ON = frozenset("""
 e.g i.e vs approx ca cf fig figs no nos sec incl excl resp eq ref refs vol ch pp al ed eds est dept inc ltd co mr mrs ms dr prof st jr sr
@@ -544,4 +546,5 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start_char", "end_char"])
 
+    ship(documents.sparkSession)
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, start_char long, end_char long").distinct()
