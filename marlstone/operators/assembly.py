@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
-from marlstone.session import materialise, shuffle_partitions
+from marlstone.session import materialise, shuffle_partitions, ship
 
 BATCH = 256
 
@@ -90,6 +90,7 @@ def token_batches(rows: DataFrame, by: list[str], order: list[str], tokens: str,
                 out.append(batch)
             yield part[names].assign(batch_id=out)
 
+    ship(src.sparkSession)
     return src.mapInPandas(work, schema)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions.helpers import backoff_seconds, retryable
 from marlstone.operators.embedding import PROVIDERS
+from marlstone.session import ship
 
 #: (url, headers, body, seconds) -> (status, headers, body); a status of None stands for a connection that failed.
 Transport = Callable[[str, dict[str, str], bytes, float], tuple[int | None, dict[str, str], bytes]]
@@ -167,4 +168,5 @@ def reranked(page: DataFrame, query: str, make: Callable[[], Client], model: str
                 scores[i] = float(s)
         yield all_.assign(relevance=pd.array(scores, dtype="Float64").astype(object))
 
+    ship(page.sparkSession)
     return page.coalesce(1).mapInPandas(work, schema)

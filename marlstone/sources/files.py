@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.operators.chunking import detect_language
+from marlstone.session import ship
 
 MAX_FILE = 5 * 1024 * 1024
 #: Bytes of files that go on together.
@@ -196,6 +197,7 @@ def read_files(spark: SparkSession, root: str, paths: list[tuple[str, int]], kno
                     rows, held = [], 0
         yield pack()
 
+    ship(spark)
     return src.repartitionByRange(n, "part").select("path", "old").mapInArrow(work, FILE)
 
 
