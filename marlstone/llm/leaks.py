@@ -217,7 +217,10 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     latin = own.filter("is_char").filter(F.regexp_replace("text", r"[^\p{L}\p{N}]", "").rlike(r"[^\x{3040}-\x{30ff}\x{3400}-\x{9fff}]{30}"))
     mode = "both" if latin.head(1) else "auto"
     docs = documents.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("is_char"))
-    found = fingerprints(docs, _bitmap(marks), mode)
-    hits = found.alias("d").join(marks.alias("m"), ["fp", "chars"]).select(
-        F.col("d.id"), F.col("m.id"), "chars", F.col("d.ctx"), F.col("d.lead"), F.col("m.ctx"), F.col("m.lead"))
-    return _extended(hits.toDF("doc_id", "item_id", "chars", "x", "lx", "y", "ly")).distinct()
+    found = materialise(fingerprints(docs, _bitmap(marks), mode).withColumn("place", F.xxhash64("chars", "fp", "ctx", "lead")), "leak-places")
+    # a passage that many documents hold has the same units around it in them, and is extended once for all
+    places = found.groupBy("place").agg(*[F.min(c).alias(c) for c in ("chars", "fp", "ctx", "lead")])
+    hits = places.alias("d").join(marks.alias("m"), ["fp", "chars"]).select(
+        "place", F.col("m.id"), "chars", F.col("d.ctx"), F.col("d.lead"), F.col("m.ctx"), F.col("m.lead"))
+    grown = _extended(hits.toDF("doc_id", "item_id", "chars", "x", "lx", "y", "ly")).distinct().withColumnRenamed("doc_id", "place")
+    return found.select("id", "place").join(grown, "place").select(F.col("id").alias("doc_id"), "item_id").distinct()

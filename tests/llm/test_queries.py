@@ -15,6 +15,18 @@ def test_query(spark, data, name):
         assert len(rows) == len(set(rows))
 
 
+@pytest.mark.parametrize("name", sorted(q for q in Q.oracle_sql() if q.endswith("_sound")))
+def test_invariants(spark, data, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "code_documents", "pack_limits"):
+        c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    out = Q.queries()[name](spark, data)
+    want = c.sql(Q.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, out.select(*c.sql(Q.oracle_sql()[name]).columns).collect()), key=str) == sorted(want, key=str)
+
+
 def test_nothing_else_imports_this_subpackage():
     import pathlib
 
