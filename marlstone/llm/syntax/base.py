@@ -11,7 +11,7 @@ from typing import NamedTuple
 #: Line shapes and tokens remembered per language in one process; beyond it the memory starts anew.
 REMEMBER = 100_000
 #: Blocks and brackets within one another beyond which a text is given up, with the cause "nesting".
-DEPTH = 5_000
+DEPTH = 2_000
 #: Calls that such a text needs at most; calls between Python functions take no room on the C stack.
 CALLS = 200_000
 

@@ -701,30 +701,39 @@ class JavaScriptParser(Parser):
         else:
             self.assign()
 
+    def behind_brackets(self, i: int, j: int) -> str | None:
+        """The token behind the bracket that closes the one at token ``j`` of line ``i``; None if none does. All brackets within are
+        remembered as well, so nested ones are read once."""
+        known = self.__dict__.setdefault("closers", {})
+        if (i, j) in known:
+            return known[i, j]
+        start, toks, stack = None, self.lines[i].split(), []
+        while True:
+            if j >= len(toks):
+                i += 1
+                while i < self.n and not self.lines[i]:
+                    i += 1
+                if i >= self.n:
+                    known.update(dict.fromkeys(stack))
+                    return None
+                toks, j = self.lines[i].split(), 0
+            t = toks[j]
+            start = start or (i, j)
+            if t in "([{":
+                stack.append((i, j))
+            elif t in ")]}":
+                known[stack.pop()] = toks[j + 1] if j + 1 < len(toks) else ""
+                if not stack:
+                    return known[start]
+            j += 1
+
     def arrow(self) -> bool:
         """An arrow function from its parameters on, if this is one."""
         m = self.mark()
-        k, nest = (1 if self.t == "async" else 0), 0
+        k = 1 if self.t == "async" else 0
         if self.t != "<" and self.peek(k) == "(":
-            # find the closing bracket; what follows decides
-            i, j, toks = self.i, self.j + k, self.toks
-            while True:
-                if j >= len(toks):
-                    i += 1
-                    while i < self.n and not self.lines[i]:
-                        i += 1
-                    if i >= self.n:
-                        return False
-                    toks, j = self.lines[i].split(), 0
-                t = toks[j]
-                if t in "([{":
-                    nest += 1
-                elif t in ")]}":
-                    nest -= 1
-                    if not nest:
-                        break
-                j += 1
-            nxt = toks[j + 1] if j + 1 < len(toks) else ""
+            # what follows the closing bracket decides
+            nxt = self.behind_brackets(self.i, self.j + k)
             if nxt != "=>" and not (self.types and nxt == ":"):
                 return False
         depth = self.depth
