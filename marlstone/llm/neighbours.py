@@ -47,7 +47,7 @@ QUERIES = 400
 #: Share of true neighbours that the tables must find; tables at least and at most.
 TARGET, TABLES, MOST = 0.98, 6, 12
 #: Codes that share a substring, on average, as a power of two.
-SHARED = 2
+SHARED = 1
 #: Pairs of codes that differ in more than this share of the bits aren't reranked.
 RADIUS = 17 / 64
 #: Vectors a cell should hold; pairs of one cell are scored by one task. Beyond ``CENTRES`` cells are cut by bits of the code.
