@@ -427,7 +427,9 @@ def similar_vectors(rows: DataFrame, id_col: str = "id", vec_col: str = "embeddi
     pairs = materialise(_candidates(few.repartition("key").sortWithinPartitions("key"), words, size), "vector-pairs")
     scored = _scored(pairs, single, k)
     if crowded:
-        scored = scored.unionByName(_hot_scored(probes.join(big, "key").select("key", "vid", "blocks"), single, k)).distinct()
+        both = scored.unionByName(_hot_scored(probes.join(big, "key").select("key", "vid", "blocks"), single, k))
+        # the same pair from two buckets can differ in the last bit
+        scored = both.groupBy("vid", "other").agg(F.max("cos").alias("cos"))
     best = materialise(_nearest(scored, k), "vector-best")
     full = F.size("near") >= min(k, total - 1)
     lost = materialise(codes.join(best.filter(full).select("vid"), "vid", "left_anti"), "lonely-vectors")

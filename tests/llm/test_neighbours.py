@@ -85,10 +85,12 @@ def test_more_tables_where_the_sample_asks_for_them():
     rng = np.random.default_rng(3)
     q = rng.standard_normal((300, 64))
     turns = [V.rotation(q, 7 + i, 3)[1] for i in range(V.words_of(V.MOST, 14))]
-    near = {s: q + s * rng.standard_normal(q.shape) for s in (0.1, 0.6)}
-    few, share = V.table_count(q, near[0.1], q.mean(axis=0), turns, 14)
-    many, less = V.table_count(q, near[0.6], q.mean(axis=0), turns, 14)
-    assert few == V.TABLES and share >= V.TARGET and many > few
+    near = {s: q + s * rng.standard_normal(q.shape) for s in (0.1, 0.8, 1.0)}
+    found = {s: V.table_count(q, n, q.mean(axis=0), turns, 14) for s, n in near.items()}
+    assert found[0.1][0] == V.TABLES and found[0.1][1] >= V.TARGET
+    assert found[0.8][0] > V.TABLES
+    # neighbours beyond the radius are found by no number of tables
+    assert found[1.0][0] == V.MOST and found[1.0][1] < V.TARGET
 
 
 def test_crowded_buckets_are_cut_into_blocks(spark, monkeypatch):
