@@ -160,6 +160,9 @@ def test_quantiles_of_many_rows_are_exact(spark):
     for g in ("a", "b"):
         vs = sorted(r[0] for r in d.filter(F.col("g") == g).select("v").collect())
         assert [got[g][k] for k in ("low", "mid", "p99", "top")] == [vs[int((len(vs) - 1) * q + 0.5)] for q in (0.0, 0.5, 0.99, 1.0)]
+    small = spark.createDataFrame([(float(i * i % 37),) for i in range(23)], "v double")
+    for q in (0.0, 0.05, 0.1, 0.5, 0.9, 0.95, 1.0):
+        assert P.quantile_by(small, [], "v", {"cut": q}).first()["cut"] == sorted(r[0] for r in small.collect())[int(22 * q + 0.5)]
     one = P.quantile_by(d, [], "v", {"cut": 0.95}).collect()
     vs = sorted(r[0] for r in d.select("v").collect())
     assert one[0]["cut"] == vs[int((len(vs) - 1) * 0.95 + 0.5)]
