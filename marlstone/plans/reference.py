@@ -93,6 +93,13 @@ def bm25_topk(spark, d):
     return S.top(S.bm25(chunks(spark, d), QUERY, index=text_index(spark, d)), F.desc("score"), 20)
 
 
+@query("SELECT count(*) AS chunks, round(avg(n), 6) AS mean_words FROM (SELECT id, max(len(regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}]+'))) AS n FROM code_chunks GROUP BY id)")
+def text_index_totals(spark, d):
+    """What the index knows without reading a posting; makes the index if it isn't there."""
+    total, mean = text_index(spark, d).totals()
+    return spark.createDataFrame([(total, round(float(mean), 6))], "chunks long, mean_words double")
+
+
 @query(f"WITH {_bm25()} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM texts QUALIFY rank <= 20")
 def bm25_scan_topk(spark, d):
     return S.top(S.bm25(chunks(spark, d), QUERY), F.desc("score"), 20)
