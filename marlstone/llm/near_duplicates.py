@@ -3,7 +3,8 @@
 Every record is reduced to the set of its runs of three tokens, each run hashed to 64 bits
 by one hash function. The k smallest hashes are its sketch. The steps:
 
-1. inverted lists of the retained values give the pairs of sets that overlap;
+1. inverted lists of the retained values give the pairs of sets that overlap; a posting carries
+   its set's shared values in 16 bits each, and a pair that can't pass step 2 goes at once;
 2. the sketches of a pair, merged to the sketch of its union, estimate the Jaccard
    similarity, and pairs whose estimate is far below the threshold go;
 3. the exact Jaccard similarity of the whole sets decides.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,8 @@ THRESHOLD = 0.6
 SLACK = 5.0
 #: Distinct tokens and fingerprints remembered by one task; beyond it the memory starts anew.
 REMEMBER = 500_000
+#: Pairs compared at a time in a task.
+PAIRS = 1 << 14
 
 
 class _TokenHashes(dict):
@@ -126,6 +129,99 @@ def _sketches(sets: DataFrame, k: int) -> DataFrame:
     return sets.select("fp", "n", "runs").mapInArrow(work, schema)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that come sorted by their first one, cut only where it changes; binary ones as rows of ``width`` 16-bit numbers."""
+
+    def plain(c: pa.Array) -> np.ndarray:
+        if not pa.types.is_binary(c.type) and not pa.types.is_large_binary(c.type):
+            return c.to_numpy(zero_copy_only=False)
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(c), width)
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [plain(c) for c in batch.columns]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield [x[:cut] for x in now]
+        rest = [x[cut:] for x in now]
+    if rest is not None:
+        yield rest
+
+
+def _postings(shared: DataFrame, k: int, prefix: int, width: int) -> DataFrame:
+    """(value, fp, n, others): the rarest retained values of each set, with all of its shared ones in 16 bits each.
+
+    ``shared`` has the retained values that more than one set holds, with their document frequency, sorted by set, frequency and value.
+    """
+    schema = T.StructType([T.StructField("value", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("others", T.BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, n, df, value in _whole_groups(batches, 0):
+            once = np.concatenate([[True], (fp[1:] != fp[:-1]) | (value[1:] != value[:-1])])
+            fp, n, value = fp[once], n[once], value[once]
+            start = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+            size = np.diff(np.append(start, len(fp)))
+            group = np.repeat(np.arange(len(start)), size)
+            place = np.arange(len(fp)) - start[group]
+            take = place < prefix - np.maximum(np.minimum(n, k) - size[group], 0)
+            if width:
+                others = np.zeros((len(start), width), np.uint16)
+                others[group, place] = value.view(np.uint64) % np.uint64(65534) + np.uint64(1)
+                others = others[group[take]]
+            else:
+                others = np.empty((int(take.sum()), 0), np.uint16)
+            ends = np.arange(len(others) + 1, dtype=np.int32) * np.int32(2 * width)
+            packed = pa.Array.from_buffers(pa.binary(), len(others), [None, pa.py_buffer(ends), pa.py_buffer(others.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(value[take]), pa.array(fp[take]), pa.array(n[take], pa.int32()), packed], names=["value", "fp", "n", "others"])
+
+    return shared.mapInArrow(work, schema)
+
+
+def _overlapping(postings: DataFrame, k: int, threshold: float, slack: float, width: int) -> DataFrame:
+    """(a, b), a < b: the pairs within each inverted list that sizes and shared values don't rule out; ``postings`` are sorted by value and n.
+
+    The 16-bit values count at least what is shared, so no pair goes that ``_estimates`` would keep.
+    """
+
+    def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, others: np.ndarray) -> np.ndarray:
+        lo, hi = n[x].astype(np.float64), n[y].astype(np.float64)
+        m = np.minimum(hi, k)
+        need = np.where(hi <= k, threshold * (lo + hi) / (1 + threshold), threshold * m - slack * (threshold * (1 - threshold) * m) ** 0.5)
+        left, right = np.ascontiguousarray(others[x].T), np.ascontiguousarray(others[y].T)
+        right[right == 0] = 65535
+        shared = np.zeros(len(x), np.int32)
+        for row in left:
+            shared += (right == row).any(axis=0)
+        return shared >= need - 1e-6
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, fp, n, others in _whole_groups(batches, width):
+            end = np.searchsorted(value, value, side="right")
+            x, step, wait, waiting = np.arange(len(value)), 0, [], 0
+            while len(x) or waiting:
+                step += 1
+                x = x[x + step < end[x]]
+                x = x[n[x] >= (threshold - 1e-9) * n[x + step]]  # the longer ones behind it are no better
+                wait.append((x, x + step))
+                waiting += len(x)
+                if waiting >= PAIRS or not len(x):
+                    p, q = (np.concatenate(c) for c in zip(*wait))
+                    wait, waiting = [], 0
+                    for i in range(0, len(p), PAIRS):
+                        px, qx = p[i:i + PAIRS], q[i:i + PAIRS]
+                        if width:
+                            keep = possible(px, qx, n, others)
+                            px, qx = px[keep], qx[keep]
+                        a, b = fp[px], fp[qx]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return postings.mapInArrow(work, "a long, b long")
+
+
 def _estimates(pairs: DataFrame, k: int, threshold: float, slack: float) -> DataFrame:
     """Keeps the pairs whose union sketch doesn't speak against ``threshold``."""
 
@@ -172,19 +268,12 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, k: int = K, pref
     """
     first = sets.filter("first")
     post = _sketches(first, k)
-    df = post.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = post.join(df, "value")
-    rare = (shared.groupBy("fp", "n").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("v"))
-            .withColumn("take", F.lit(prefix) - F.greatest(F.least("n", F.lit(k)) - F.size("v"), F.lit(0)))
-            .filter("take > 0")
-            .select("fp", "n", F.explode(F.slice("v", 1, F.col("take"))).alias("x"))
-            .select("fp", "n", F.col("x.value").alias("value")))
-    a = rare.select("value", F.col("fp").alias("a"), F.col("n").alias("na"))
-    b = rare.select("value", F.col("fp").alias("b"), F.col("n").alias("nb"))
-    pairs = (a.join(b, "value").filter("a < b")
-             .filter((F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")))
-             .select("a", "b").distinct())
-    near = _estimates(_with_runs(pairs, first, F.substring("runs", 1, 8 * k)).hint("rebalance"), k, threshold, slack).distinct()
+    shared = post.withColumn("df", F.count("*").over(Window.partitionBy("value"))).filter("df > 1")
+    # without bound on what an estimate may miss, a sketch rules nothing out
+    width = k if slack < float("inf") else 0
+    rare = _postings(shared.select("fp", "n", "df", "value").repartition("fp").sortWithinPartitions("fp", "df", "value"), k, prefix, width)
+    pairs = _overlapping(rare.repartition("value").sortWithinPartitions("value", "n"), k, threshold, slack, width).distinct()
+    near = _estimates(_with_runs(pairs, first, F.substring("runs", 1, 8 * k)), k, threshold, slack).distinct()
     near = materialise(near, "near-candidates")
     needed = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     return _exact(_with_runs(near, first.join(needed, "fp", "left_semi"), F.col("runs")), threshold).distinct()

@@ -93,3 +93,34 @@ def test_exact_setting(spark):
     assert exact == brute(rows) and few <= exact
     classes = N.near_duplicate_classes(spark.createDataFrame(rows, DDL), k=1_000, prefix=1_000, slack=float("inf")).collect()
     assert sum(r["links"] for r in classes) == 2 * len(exact)
+
+
+def shuffled(spark, after):
+    """Bytes that stages above ``after`` wrote to shuffles, and the last stage."""
+    gw = spark.sparkContext._gateway
+    none = gw.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gw.new_array(gw.jvm.double, 0), none)
+    each = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteBytes() for s in each if s.stageId() > after), max([-1, *(s.stageId() for s in each)])
+
+
+def test_common_phrases_move_no_pairs(spark):
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(5)) for i in range(100)]
+    rows = [(f"{i}", " ".join(rng.sample(phrases, 10)), 1, "x", 2) for i in range(600)]
+    rows += [(f"{i}-like", rows[i][1] + " end", 1, "x", 2) for i in range(20)]
+    _, last = shuffled(spark, -1)
+    got = found(spark, rows)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    # about 140,000 pairs of records share a phrase's run; only records may move, not these pairs
+    assert shuffled(spark, last)[0] < 15_000 * len(rows)
+    assert got == brute(rows)
+
+
+def test_lists_over_many_batches(spark):
+    rows, old = made(6, 30), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
